@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions.unsigned import ukey
 from tagloom.operators.distinct import distinct_records
+from tagloom.operators.sorted_walk import whole_groups
 from tagloom.session import small, written
 
 #: Loads of one library that are profiled together.
@@ -40,8 +41,6 @@ _OUT = (
     f"kind int, pid int, gid bigint, c int, o int, {_STATS}, "
     "v bigint, n bigint, upto bigint, before_upto bigint, after_upto bigint"
 )
-#: Sorted rows that are gathered before whole groups among them are worked off.
-_CHUNK = 1 << 18
 
 
 def files_of(records: DataFrame, headers: DataFrame) -> DataFrame:
@@ -174,25 +173,8 @@ def walk_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    held: list[np.ndarray] = []
-    fresh: list[list[np.ndarray]] = []
-    first, waiting = True, 0
-    for b in batches:
-        fresh.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(6)])
-        waiting += b.num_rows
-        if waiting < _CHUNK:
-            continue
-        held = [np.concatenate([*([held[i]] if held else []), *(x[i] for x in fresh)]) for i in range(6)]
-        fresh, waiting = [], 0
-        same = (held[0] == held[0][-1]) & (held[1] == held[1][-1])
-        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-        if cut:
-            yield from work([x[:cut] for x in held], first, False)
-            held, first = [x[cut:] for x in held], False
-    if fresh or held:
-        held = [np.concatenate([*([held[i]] if held else []), *(x[i] for x in fresh)]) for i in range(6)]
-        if len(held[0]):
-            yield from work(held, first, True)
+    for held, first, last in whole_groups(batches, [0, 1]):
+        yield from work(held, first, last)
 
 
 def _merge_parts(walked: DataFrame) -> DataFrame:
