@@ -1,4 +1,7 @@
-"""Queries of the operators for training data in this subpackage and their SQL."""
+"""All queries of this subpackage and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from tagloom.llm import record_queries, text_queries
+
+_PARTS = [record_queries, text_queries]
+QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLE = {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}
