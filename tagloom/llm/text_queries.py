@@ -1,9 +1,10 @@
-"""Queries of problems 6 and 7, on documents, and their SQL."""
+"""Queries of problems 6 to 8, on documents, and their SQL."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm.packing import pack
+from tagloom.llm.quality import common_set, statistics_column
 from tagloom.llm.tokens import count_column, decode_column, encode_column, model_of
 from tagloom.session import table
 
@@ -35,5 +36,16 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_packing(spark, sf_dir).where("part = 1").select("doc_id")
 
 
-QUERIES = {"p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_found": p7_found, "p7_packing": p7_packing}
+def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and kind of every document."""
+    common = common_set(table(spark, sf_dir, "common_words"))
+    return table(spark, sf_dir, "documents").select("doc_id", statistics_column(F.col("text"), common).alias("s")).select("doc_id", "s.*")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are lists, tables or junk."""
+    return p8_statistics(spark, sf_dir).where(F.col("kind").isin("list", "table", "junk")).select("doc_id", "kind")
+
+
+QUERIES = {"p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_found": p7_found, "p7_packing": p7_packing, "p8_found": p8_found, "p8_statistics": p8_statistics}
 ORACLE = {"p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
