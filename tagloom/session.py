@@ -37,10 +37,15 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tagloom-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+    remember(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remember(spark: SparkSession, path: str) -> None:
+    """Have a file or folder removed when the driver program ends."""
     if not _written:
         atexit.register(_remove_written)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def _remove_written() -> None:
