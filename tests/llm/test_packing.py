@@ -1,0 +1,67 @@
+import random
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tagloom.llm import packing
+from tagloom.llm.packing import first_fit_decreasing, pack
+
+
+def plain_ffd(sizes, capacity):
+    room, out = [], [0] * len(sizes)
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        place = next((b for b, left in enumerate(room) if left >= sizes[i]), None)
+        if place is None:
+            place = len(room)
+            room.append(capacity)
+        room[place] -= sizes[i]
+        out[i] = place
+    return out
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_tree_is_first_fit_decreasing(seed):
+    r = random.Random(seed)
+    capacity = r.choice([1, 7, 100, 4_096])
+    sizes = [r.choice([0, 1, capacity, r.randint(0, capacity), capacity // 2, capacity // 2 + 1]) for _ in range(r.choice([0, 1, 2, 50, 400]))]
+    sizes = [min(s, capacity) for s in sizes]
+    assert first_fit_decreasing(np.array(sizes, np.int64), capacity).tolist() == plain_ffd(sizes, capacity)
+
+
+def packed(spark, items, capacity=100):
+    df = spark.createDataFrame(items, "id bigint, n bigint").withColumn("item", F.lit("x")).withColumn("row", F.lit("x")).repartition(4)
+    return pack(df, "id", "n", capacity).collect()
+
+
+def test_every_item_once_and_within_capacity(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_ITEMS", 300)
+    r = random.Random(1)
+    items = [(i, r.choice([0, 1, 99, 100, 101, 250, None, r.randint(1, 60)])) for i in range(2_000)]
+    used, parts = defaultdict(int), defaultdict(list)
+    for x in packed(spark, items):
+        used[x["container"]] += x["size"]
+        parts[x["item"]].append((x["part"], x["start"], x["size"]))
+    assert max(used.values()) <= 100
+    for i, n in items:
+        n = n or 0
+        steps = sorted(parts.pop(i))
+        assert [p for p, _, _ in steps] == list(range(max(1, -(-n // 100))))
+        assert [s for _, s, _ in steps] == [100 * p for p, _, _ in steps]
+        assert sum(s for _, _, s in steps) == n and all(s == 100 for _, _, s in steps[:-1])
+    assert not parts
+    # First-fit decreasing fills all but a few containers of each group.
+    assert sum(used.values()) > 0.95 * 100 * len(used)
+
+
+def test_copies_nulls_and_nothing(spark):
+    assert packed(spark, []) == []
+    rows = packed(spark, [(None, 60)] * 3 + [(5, 40)] * 3 + [(5, 40), (6, 0)])
+    assert sorted((x["item"] is None, x["size"]) for x in rows) == sorted([(True, 60)] * 3 + [(False, 40)] * 4 + [(False, 0)])
+    assert [x["container"] for x in packed(spark, [(1, None), (2, 0)])] == [0, 0]
+
+
+def test_very_large_item(spark):
+    rows = packed(spark, [(1, 1_000_050), (2, 50)])
+    assert len({x["container"] for x in rows}) == 10_001 and len(rows) == 10_002
