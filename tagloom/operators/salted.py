@@ -56,16 +56,7 @@ def salted_distinct_counts(
             every = every & p.isNotNull()
         return F.when(every, F.struct(*parts))
 
-    direct = [F.countDistinct(value(m)).alias(m) for m in measures]
-    out = [*(F.col(names[k]).alias(k) for k in keys), *measures]
-    if not heavy:
-        return rows.repartition(*inner).groupBy(*inner).agg(*direct).select(*out)
-
-    schema = ", ".join([*(f"{k} {rows.schema[k].dataType.simpleString()}" for k in inner), "__salts int"])
-    marked = rows.join(F.broadcast(spark.createDataFrame(heavy, schema)), inner, "left")
-    light = marked.where(F.col("__salts").isNull()).drop("__salts").repartition(*inner).groupBy(*inner).agg(*direct)
-
-    # Every measure becomes rows of (key, measure, salt, value); null parts are kept apart by the struct's own nulls.
+    # Rows of (key, measure, value), a row for each measure that has a value; parts of other measures are null.
     valued = list(dict.fromkeys(names[c] for m in measures.values() for c in m))
     kinds = {n: rows.schema[n].dataType for n in valued}
     each = F.array(
@@ -73,28 +64,46 @@ def salted_distinct_counts(
             F.struct(
                 F.lit(i).alias("__m"),
                 value(m).isNotNull().alias("__there"),
-                F.xxhash64(*(names[c] for c in measures[m])).alias("__hash"),
                 *((F.col(n) if n in {names[c] for c in measures[m]} else F.lit(None).cast(kinds[n])).alias(n) for n in valued),
             )
             for i, m in enumerate(measures)
         )
     )
-    spreaded = (
-        marked.where(F.col("__salts").isNotNull())
-        .select(*inner, "__salts", F.explode(each).alias("__e"))
-        .select(*inner, "__salts", "__e.*")
-        .where("__there")
-        .withColumn("__salt", F.pmod("__hash", F.col("__salts").cast("bigint")))
-    )
+
+    def apart(df: DataFrame, *more: str) -> DataFrame:
+        return df.select(*inner, *more, F.explode(each).alias("__e")).select(*inner, *more, "__e.*")
+
+    def numbers(df: DataFrame) -> DataFrame:
+        by_measure = (F.sum(F.when(F.col("__m") == i, F.col("__n"))) for i in range(len(measures)))
+        return df.groupBy(*inner).agg(*(F.coalesce(s, F.lit(0)).cast("bigint").alias(m) for s, m in zip(by_measure, measures)))
+
+    def direct(df: DataFrame) -> DataFrame:
+        """Counts in one shuffle by key: what comes after it keeps that partitioning. Several distinct aggregates at once would
+        shuffle again, by key and value."""
+        df = df.repartition(*inner)
+        if len(measures) == 1:
+            return df.groupBy(*inner).agg(*(F.countDistinct(value(m)).alias(m) for m in measures))
+        distinct = apart(df).select(*inner, "__m", "__there", *valued).distinct()
+        return numbers(distinct.groupBy(*inner, "__m").agg(F.count_if("__there").alias("__n")))
+
+    out = [*(F.col(names[k]).alias(k) for k in keys), *measures]
+    if not heavy:
+        return direct(rows).select(*out)
+
+    schema = ", ".join([*(f"{k} {rows.schema[k].dataType.simpleString()}" for k in inner), "__salts int"])
+    marked = rows.join(F.broadcast(spark.createDataFrame(heavy, schema)), inner, "left")
+    light = direct(marked.where(F.col("__salts").isNull()).drop("__salts"))
+    hashes = (F.xxhash64(*(names[c] for c in m)) for m in measures.values())
+    by_value = F.coalesce(*(F.when(F.col("__m") == i, h) for i, h in enumerate(hashes)))
+    spreaded = apart(marked.where(F.col("__salts").isNotNull()), "__salts").where("__there")
     partial = (
-        spreaded.select(*inner, "__m", "__salt", *valued)
+        spreaded.withColumn("__salt", F.pmod(by_value, F.col("__salts").cast("bigint")))
+        .select(*inner, "__m", "__salt", *valued)
         .distinct()
         .groupBy(*inner, "__m", "__salt")
         .agg(F.count(F.lit(1)).alias("__n"))
     )
-    merged = partial.groupBy(*inner).agg(
-        *(F.coalesce(F.sum(F.when(F.col("__m") == i, F.col("__n"))), F.lit(0)).cast("bigint").alias(m) for i, m in enumerate(measures))
-    )
+    merged = numbers(partial)
     # A heavy key all of whose values are null in every measure has no partial row; it still is a key.
     known = spark.createDataFrame([h[:-1] for h in heavy], schema.rpartition(",")[0])
     whole = F.broadcast(known).join(merged, inner, "left").fillna(0, list(measures))
