@@ -217,7 +217,7 @@ FIELDS = (
 def text_statistics(text: str | None, common: frozenset[str] = frozenset()) -> tuple:
     """The values of ``FIELDS`` of one text.
 
-    ``n_chars`` is of the whole text, all else of the author's own. Words are runs of letters and digits. ``symbol_ratio`` is the part of
+    ``n_chars`` is of the whole text, all else of the author's own. Words are runs of letters and digits outside markup. ``symbol_ratio`` is the part of
     non-blank characters that are neither letters nor digits; ``line_end_share`` that of non-empty lines that end in
     punctuation; ``common_share`` that of words in ``common``. Duplicate shares are by characters, of all but the first of equal lines or
     paragraphs. Line kinds are shares of their weight. Null has null counts; without own words, lines or
@@ -229,7 +229,7 @@ def text_statistics(text: str | None, common: frozenset[str] = frozenset()) -> t
     lines = [x for x in own.split("\n") if x.strip()]
     if not lines:
         return (len(text), 0, 0, *[0.0] * 2, 0, *[0.0] * 9, None)
-    words = _WORD.findall(own)
+    words = _WORD.findall(_TAG.sub(" ", own) if any(c in own for c in "<[{&") else own)
     lowered = [w.lower() for w in words]
     dense = _dense(own)
     symbols = dense - len(_NO_ALNUM.sub("", own))
