@@ -1,7 +1,8 @@
 """The header of a record file."""
 
+import json
 import struct
-from dataclasses import dataclass, replace
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -52,6 +53,15 @@ class Header:
     def to_bytes(self) -> bytes:
         return struct.pack(_LAYOUT, self.magic, self.version, self.bc_len, self.umi_len, self.flags, self.reserved)
 
+    def to_json(self) -> str:
+        """An object by field name; reserved bytes as a list of numbers."""
+        return json.dumps(asdict(self) | {"reserved": list(self.reserved)})
+
+    @classmethod
+    def from_json(cls, text: str) -> "Header":
+        fields = json.loads(text)
+        return cls(**fields | {"reserved": bytes(fields["reserved"])})
+
     @classmethod
     def from_bytes(cls, raw: bytes) -> "Header":
         """Decode exactly 32 bytes, without validation."""

@@ -1,5 +1,6 @@
 """Queries of the operators on record files and their SQL. Records are made from lineitem and go through a file."""
 
+import gzip
 import uuid
 from collections.abc import Iterator
 
@@ -8,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom.errors import RecordFileError
 from tagloom.functions.sequence import decode_bases, encode_bases
 from tagloom.functions.unsigned import lit_u64, record_keys, record_less, u64, u64_sum
 from tagloom.header import Header, header_error
@@ -15,8 +17,10 @@ from tagloom.operators import records as ops
 from tagloom.operators.fold import fold_columns
 from tagloom.session import remember, shared_dir, table
 from tagloom.sources.binary import append_into, count_records, read_records, write_records
-from tagloom.sources.files import read_header
-from tagloom.sources.generators import patterned_records
+from tagloom.sources.codec import encode
+from tagloom.sources.files import located, read_header, size_of
+from tagloom.sources.generators import patterned_records, random_records
+from tagloom.streaming.append import running_barcode_counts, stream_records
 
 _HEADER = Header(16, 12)
 #: Records of the patterned query, and of the slice.
@@ -62,6 +66,67 @@ def directory_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(spark, path)
 
 
+def compressed_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file packed by gzip, in two members."""
+    path, packed = _path(spark), _path(spark)
+    write_records(lineitem_records(spark, sf_dir), path, _HEADER)
+    fs, inner = located(path)
+    other, target = located(packed)
+    with fs.open_input_file(inner) as source, other.open_output_stream(target, compression=None) as out:
+        while chunk := source.read(size_of(path) // 2 + 1):
+            out.write(gzip.compress(chunk, 1))
+    return read_records(spark, packed).repartition(8)
+
+
+def stream_barcode_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts per barcode by a stream over a file that has grown."""
+    path, name = _path(spark), f"counts_{uuid.uuid4().hex}"
+    rows = lineitem_records(spark, sf_dir)
+    write_records(rows.where("umi % 2 = 0"), path, _HEADER)
+    write_records(rows.where("umi % 2 = 1"), path, _HEADER, mode="append")
+    running_barcode_counts(stream_records(spark, path), name, _path(spark)).awaitTermination()
+    return spark.table(name)
+
+
+def random_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is certain of random records: their number and that barcodes and indexes are in range."""
+    _, rows = random_records(spark, 10_000, seed=1)
+    fits = F.col("barcode").between(0, 999) & F.col("index").between(0, 9_999)
+    return rows.agg(F.count(F.lit(1)).alias("n_records"), F.count_if(fits).alias("n_in_range"))
+
+
+def file_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The error of each kind of broken file or bad range."""
+    good, two = _HEADER.to_bytes(), encode([(1, 2, 3), (4, 5, 6)])
+    cases = {
+        "zeros": (bytes(32), {}),
+        "magic_and_version": (Header(16, 12, magic=1, version=1).to_bytes(), {}),
+        "version": (Header(16, 12, version=1).to_bytes(), {}),
+        "barcode_length": (Header(33, 0).to_bytes(), {}),
+        "umi_length": (Header(16, 0).to_bytes(), {}),
+        "empty": (b"", {}),
+        "short": (good[:31], {}),
+        "cut_sequential": (good + two[:-5], {}),
+        "cut_bulk": (good + two[:-5], {"access": "bulk"}),
+        "cut_mmap": (good + two[:-5], {"access": "mmap"}),
+        "range_beyond": (good + two, {"start": 0, "end": 3}),
+        "range_empty": (good + two, {"start": 1, "end": 1}),
+        "good": (good + two, {}),
+    }
+    found = []
+    for case, (raw, options) in cases.items():
+        path = _path(spark)
+        fs, inner = located(path)
+        with fs.open_output_stream(inner, compression=None) as out:
+            out.write(raw)
+        try:
+            read_records(spark, path, **options)
+            found.append((case, None))
+        except RecordFileError as e:
+            found.append((case, type(e).__name__))
+    return spark.createDataFrame(found, "case string, error string")
+
+
 def record_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.record_count(_filed(spark, sf_dir))
 
@@ -227,7 +292,7 @@ def feature_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        roundtrip, bulk_load, mmap_load, directory_layout, record_count, size_count, header_row, field_sums, index_sum, barcode_counts,
+        roundtrip, bulk_load, mmap_load, directory_layout, compressed_load, stream_barcode_counts, random_shape, file_errors, record_count, size_count, header_row, field_sums, index_sum, barcode_counts,
         xor_checksum, sorted_rank, slice_100_200, slice_sorted, single_record, verify_sorted, distinct_records, min_max_record,
         hi_min_max, record_order, ingest_concat, append_mode, fold_sums, partition_plan, pattern_checksum, header_validation,
         record_hex, json_roundtrip, hi_sorted, hi_sums, bases, feature_counts,
@@ -252,13 +317,18 @@ def _bases_sql() -> str:
 
 
 ORACLE = {
-    **dict.fromkeys(("roundtrip", "bulk_load", "mmap_load", "directory_layout", "ingest_concat", "append_mode"), _ALL),
+    **dict.fromkeys(("roundtrip", "bulk_load", "mmap_load", "directory_layout", "compressed_load", "ingest_concat", "append_mode"), _ALL),
     **dict.fromkeys(("record_count", "size_count"), "SELECT count(*) AS n_records FROM lineitem"),
     "header_row": "SELECT 2 AS version, 16 AS bc_len, 12 AS umi_len, CAST(1 AS BIGINT) AS flags, true AS sorted",
     "field_sums": f"""WITH {_R} SELECT CAST(sum(barcode) AS BIGINT) AS barcode_sum, CAST(sum(umi) AS BIGINT) AS umi_sum,
   CAST(sum("index") AS BIGINT) AS index_sum, CAST(sum(barcode + umi + "index") AS BIGINT) AS total_sum FROM r""",
     "index_sum": f'WITH {_R} SELECT CAST(sum("index") AS BIGINT) AS index_sum FROM r',
-    "barcode_counts": f"WITH {_R} SELECT barcode, count(*) AS n_records FROM r GROUP BY 1",
+    **dict.fromkeys(("barcode_counts", "stream_barcode_counts"), f"WITH {_R} SELECT barcode, count(*) AS n_records FROM r GROUP BY 1"),
+    "random_shape": "SELECT CAST(10000 AS BIGINT) AS n_records, CAST(10000 AS BIGINT) AS n_in_range",
+    "file_errors": """SELECT * FROM (VALUES ('zeros', 'InvalidMagicNumber'), ('magic_and_version', 'InvalidMagicNumber'), ('version', 'InvalidVersion'),
+  ('barcode_length', 'InvalidBarcodeLength'), ('umi_length', 'InvalidUmiLength'), ('empty', 'RecordIOError'), ('short', 'RecordIOError'),
+  ('cut_sequential', 'TruncatedRecord'), ('cut_bulk', 'InvalidMapSize'), ('cut_mmap', 'InvalidMapSize'), ('range_beyond', 'InvalidIndex'),
+  ('range_empty', 'InvalidIndex'), ('good', NULL)) AS t("case", error)""",
     "xor_checksum": f'WITH {_R} SELECT bit_xor(xor(xor(barcode, umi), "index")) AS checksum FROM r',
     "sorted_rank": f'WITH {_R} SELECT *, row_number() OVER (ORDER BY barcode, umi, "index") - 1 AS position FROM r',
     "slice_100_200": f'WITH {_R} SELECT * FROM r ORDER BY barcode, umi, "index" LIMIT 100 OFFSET 100',

@@ -342,8 +342,8 @@ def write_records(
     sort: bool = False,
     claim_sorted: bool = False,
     layout: str = "file",
-) -> None:
-    """Write ``barcode, umi, index`` of ``df``; other columns are left out.
+) -> int:
+    """Write ``barcode, umi, index`` of ``df``; other columns are left out. The number of records written, by the size of the files.
 
     The header is validated before anything is written; None writes records alone. ``sort`` puts the records into unsigned order;
     the header claims it only then, or if the caller asserts it by ``claim_sorted``. ``layout`` as ``directory`` writes a file per task,
@@ -354,7 +354,7 @@ def write_records(
     fs, inner = located(path)
     there = fs.get_file_info(inner).type != pafs.FileType.NotFound
     if there and mode == "ignore":
-        return
+        return 0
     if there and mode == "error":
         raise RecordIOError(f"{path} exists")
     register(df.sparkSession)
@@ -365,7 +365,11 @@ def write_records(
     if header is not None:
         header.validate()
         options["headerhex"] = header.with_sorted(sort or claim_sorted).to_bytes().hex()
-    rows.write.format(FORMAT).options(**options).mode("append" if mode == "append" and there else "overwrite").save(path)
+    kept = mode == "append" and there
+    headed = header is not None
+    before = count_records(path, "bulk", headed) if kept else 0
+    rows.write.format(FORMAT).options(**options).mode("append" if kept else "overwrite").save(path)
+    return count_records(path, "bulk", headed) - before
 
 
 def append_into(target: str, part: str) -> int:

@@ -193,8 +193,8 @@ def test_claim_without_order_is_seen(spark, tmp_path):
 
 def test_modes(spark, tmp_path):
     path = str(tmp_path / "w")
-    write_records(frame(spark, FEW[:1]), path, HEADER, sort=True)
-    write_records(frame(spark, FEW[1:]).coalesce(1), path, HEADER, mode="append")
+    assert write_records(frame(spark, FEW[:1]), path, HEADER, sort=True) == 1
+    assert write_records(frame(spark, FEW[1:]).coalesce(1), path, HEADER, mode="append") == 2
     assert got(read_records(spark, path)) == FEW and not read_header(path).sorted
     with pytest.raises(Exception, match="differ in barcode or UMI length"):
         write_records(frame(spark, FEW), path, Header(10, 12), mode="append")

@@ -22,6 +22,7 @@ def test_sorted_flag():
 def test_unknown_bits_and_reserved_bytes_survive():
     h = Header(16, 12, flags=(1 << 63) | 64, reserved=b"reserved")
     assert Header.from_bytes(h.to_bytes()) == h
+    assert Header.from_json(h.to_json()) == h
     assert h.validate() is h
 
 
