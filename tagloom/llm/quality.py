@@ -66,14 +66,14 @@ def without_quotes(text: str) -> str:
     """``text`` without quoted passages, however nested, in tags or by line marks.
 
     A passage goes from an opening tag to the closing tag of its name that evens out those between; if there are too few, to
-    the last one. Only closing tags at the end of a line, or before another one, count. Tags without partner stay.
+    the last one. Only closing tags at the end of a line, or right before another one, count. Tags without partner stay.
     """
     tags = []
     for m in _QUOTE_TAG.finditer(text):
         name = "q" if m.group(0)[0] == "[" else "b"
         if not (m.group(1) or m.group(2)):
             tags.append((m.start(), m.end(), name, 1))
-        elif re.match(r"[ \t]*(?:\n|$|</|\[/)", text[m.end() : m.end() + 40]):
+        elif re.match(r"[ \t]*(?:\n|$)|</blockquote>|\[/quote\]", text[m.end() : m.end() + 40], re.I):
             tags.append((m.start(), m.end(), name, -1))
     pieces, at, i = [], 0, 0
     while i < len(tags):
@@ -187,8 +187,9 @@ def _bare_items(lines: list[str], kinds: list[str]) -> list[str]:
     items = [
         i for i in prose if (x := lines[i].strip())[0].isupper() and not x.isupper() and len(x) <= 60 and x.count(" ") <= 8
     ]
+    inside = sum(x[0].islower() for i in prose if len(x := lines[i].strip()) <= 60)
     open_ = sum(not _SENTENCE_END.search(lines[i].rstrip()) for i in items)
-    if len(items) < LEAST_ITEMS or len(items) < 0.8 * (len(prose) - 2) or 3 * open_ < len(items):
+    if len(items) < LEAST_ITEMS or len(items) < 0.8 * (len(prose) - 2) or 3 * open_ < len(items) or 10 * inside > len(prose):
         return kinds
     return ["list" if i in items else k for i, k in enumerate(kinds)]
 
