@@ -6,13 +6,17 @@ For what built-in aggregates can express, use those: they stay in generated code
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.errors import PythonException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.errors import ProcessError
+from tagloom.functions.unsigned import MASK
+from tagloom.sources.binary import plan, raw_part, read_part
+from tagloom.sources.codec import FIELDS
 
 #: States that one task merges.
 FAN_IN = 16
@@ -48,33 +52,54 @@ def fold(df: DataFrame, processor: Processor, partitions: int = 0) -> Any:
     States are merged in partition order, ``FAN_IN`` at a time, until one is left for the driver. If the processor
     fails, no result comes out, and its error is the cause of a ``ProcessError``.
     """
-    spark = df.sparkSession
     if partitions:
         df = df.coalesce(partitions) if partitions < df.rdd.getNumPartitions() else df.repartition(partitions)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        place = TaskContext.get().partitionId()
-        state, any_ = processor.init(place), False
+        yield from _state(processor, TaskContext.get().partitionId(), batches)
+
+    return _merge(df.mapInArrow(partial, _STATES), df.rdd.getNumPartitions(), processor)
+
+
+def fold_file(spark: SparkSession, path: str, processor: Processor, partitions: int = 0, access: str = "mmap") -> Any:
+    """``fold`` over the records of a file that tasks read by themselves: no record passes through the engine, which makes it the
+    fastest way over a file. 0 partitions are as many as the session's default parallelism."""
+    options = {"access": access, "numpartitions": str(partitions or spark.sparkContext.defaultParallelism)}
+    parts = plan(path, options)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                state, any_ = processor.on_batch_complete(processor.process_batch(state, b)), True
-        if any_:
-            yield pa.RecordBatch.from_pydict({"place": pa.array([place], pa.int64()), "state": [cloudpickle.dumps(state)]})
+            for i in b.column(0).to_pylist():
+                yield from _state(processor, i, read_part(parts[i], options))
+
+    tasks = spark.range(0, len(parts), 1, max(1, len(parts)))
+    return _merge(tasks.mapInArrow(partial, _STATES), len(parts), processor)
+
+
+_STATES = "place bigint, state binary"
+
 
+def _state(processor: Processor, place: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    state, any_ = processor.init(place), False
+    for b in batches:
+        if b.num_rows:
+            state, any_ = processor.on_batch_complete(processor.process_batch(state, b)), True
+    if any_:
+        yield pa.RecordBatch.from_pydict({"place": pa.array([place], pa.int64()), "state": [cloudpickle.dumps(state)]})
+
+
+def _merge(states: DataFrame, left: int, processor: Processor) -> Any:
     def merged(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         state = None
         for i, raw in enumerate(table.sort_by("place")["state"].to_pylist()):
             state = cloudpickle.loads(raw) if i == 0 else processor.merge(state, cloudpickle.loads(raw))
         return pa.table({"place": pa.array([key[0].as_py()], pa.int64()), "state": [cloudpickle.dumps(state)]})
 
-    schema = "place bigint, state binary"
-    states = df.mapInArrow(partial, schema)
-    left = df.rdd.getNumPartitions()
     while left > 1:
         left = -(-left // FAN_IN)
-        states = states.groupBy(F.floor(F.col("place") / FAN_IN).alias("g")).applyInArrow(lambda key, table: merged(key, table), schema)
+        states = states.groupBy(F.floor(F.col("place") / FAN_IN).alias("g")).applyInArrow(lambda key, table: merged(key, table), _STATES)
     try:
         found = states.collect()
     except PythonException as e:
@@ -86,3 +111,38 @@ def fold_columns(df: DataFrame, function, schema: str, merge: dict[str, str]) ->
     """A fold as a DataFrame: ``function`` turns a partition's batches into rows of ``schema``, whose columns are merged by the
     aggregate functions named in ``merge``."""
     return df.mapInArrow(function, schema).agg(*(F.expr(f"{how}({c})").alias(c) for c, how in merge.items()))
+
+
+def scan_totals(spark: SparkSession, path: str, partitions: int = 0, access: str = "mmap") -> DataFrame:
+    """``n_records, barcode_sum, umi_sum, index_sum, checksum`` of a file in one pass by tasks that read it themselves.
+
+    Sums are exact and unsigned, as DECIMAL(38,0), summed in 32-bit halves; the checksum is the XOR of all fields, as bits.
+    """
+    options = {"access": access, "numpartitions": str(partitions or spark.sparkContext.defaultParallelism)}
+    parts = plan(path, options)
+    halves = [f"{f}_{h}" for f in FIELDS for h in ("low", "high")]
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in b.column(0).to_pylist():
+                n, sums, mixed = 0, [0] * 6, np.uint64(0)
+                for raw in raw_part(parts[i], options):
+                    n += len(raw)
+                    fields = [np.ascontiguousarray(raw[f]) for f in FIELDS]
+                    for k, x in enumerate(fields):
+                        high = int((x >> np.uint64(32)).sum())
+                        whole = int(x.sum())  # modulo 2^64, from which the low halves follow: they add up to less
+                        sums[2 * k] += (whole - (high << 32)) & MASK
+                        sums[2 * k + 1] += high
+                    mixed ^= np.bitwise_xor.reduce(fields[0] ^ fields[1] ^ fields[2], initial=np.uint64(0))
+                row = {"n_records": n, **dict(zip(halves, sums)), "checksum": int(np.uint64(mixed).view(np.int64))}
+                yield pa.RecordBatch.from_pydict({k: pa.array([v], pa.int64()) for k, v in row.items()})
+
+    schema = ", ".join(f"{c} bigint" for c in ("n_records", *halves, "checksum"))
+    found = spark.range(0, len(parts), 1, max(1, len(parts))).mapInArrow(totals, schema)
+    wide = lambda c: F.coalesce(F.sum(F.col(c).cast("decimal(20,0)")), F.lit(0)).cast("decimal(28,0)")
+    return found.agg(
+        F.coalesce(F.sum("n_records"), F.lit(0)).cast("bigint").alias("n_records"),
+        *((wide(f"{f}_low") + wide(f"{f}_high") * F.expr("4294967296BD")).cast("decimal(38,0)").alias(f"{f}_sum") for f in FIELDS),
+        F.coalesce(F.bit_xor("checksum"), F.lit(0).cast("bigint")).alias("checksum"),
+    )

@@ -15,6 +15,7 @@ from tagloom.functions.unsigned import lit_u64, record_keys, record_less, u64, u
 from tagloom.header import Header, header_error
 from tagloom.operators import records as ops
 from tagloom.operators.fold import fold_columns
+from tagloom.operators.fold import scan_totals as scan_file
 from tagloom.session import remember, shared_dir, table
 from tagloom.sources.binary import append_into, count_records, read_records, write_records
 from tagloom.sources.codec import encode
@@ -239,6 +240,14 @@ def fold_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*(F.col(n).cast("bigint").alias(n) for n in names))
 
 
+def scan_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals by tasks that read the file themselves."""
+    path = _path(spark)
+    write_records(lineitem_records(spark, sf_dir, True), path, _HEADER)
+    totals = scan_file(spark, path, 6)
+    return totals.select("n_records", *(F.col(f"{f}_sum").cast("string").alias(f"{f}_sum") for f in ops.FIELDS), "checksum")
+
+
 def partition_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = ops.record_count(_filed(spark, sf_dir))
     return count.select(F.explode(ops.partition_plan(F.col("n_records"), 4)).alias("p")).select("p.*")
@@ -294,7 +303,7 @@ QUERIES = {
     for f in (
         roundtrip, bulk_load, mmap_load, directory_layout, compressed_load, stream_barcode_counts, random_shape, file_errors, record_count, size_count, header_row, field_sums, index_sum, barcode_counts,
         xor_checksum, sorted_rank, slice_100_200, slice_sorted, single_record, verify_sorted, distinct_records, min_max_record,
-        hi_min_max, record_order, ingest_concat, append_mode, fold_sums, partition_plan, pattern_checksum, header_validation,
+        hi_min_max, record_order, ingest_concat, append_mode, fold_sums, scan_totals, partition_plan, pattern_checksum, header_validation,
         record_hex, json_roundtrip, hi_sorted, hi_sums, bases, feature_counts,
     )
 }
@@ -345,6 +354,8 @@ ORACLE = {
   FROM h GROUP BY 1""",
     "fold_sums": f"""WITH {_R} SELECT count(*) AS n_records, CAST(sum(barcode) AS BIGINT) AS barcode_sum, CAST(sum(umi) AS BIGINT) AS umi_sum,
   CAST(sum("index") AS BIGINT) AS index_sum FROM r""",
+    "scan_totals": f"""WITH {_H} SELECT count(*) AS n_records, CAST(sum(b) AS VARCHAR) AS barcode_sum, CAST(sum(umi) AS VARCHAR) AS umi_sum,
+  CAST(sum("index") AS VARCHAR) AS index_sum, bit_xor(xor(xor(barcode, umi), "index")) AS checksum FROM h""",
     "partition_plan": """WITH n AS (SELECT count(*) AS n FROM lineitem) SELECT CAST(i AS INT) AS part, i * (n // 4) AS first_record,
   CASE WHEN i = 3 THEN n ELSE (i + 1) * (n // 4) END AS end_record FROM n, (SELECT range AS i FROM range(4))""",
     "pattern_checksum": f"""SELECT bit_xor(xor(xor(i % 1000000, (31 * i) % 1000000), i)) AS checksum

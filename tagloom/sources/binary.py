@@ -108,10 +108,10 @@ def _head(path: str) -> bytes:
     return raw
 
 
-def _read(part: tuple[str, int, int | None, int], options: dict) -> Iterator[pa.RecordBatch]:
-    path, start, end, position = part
+def raw_part(part: tuple[str, int, int | None, int], options: dict) -> Iterator[np.ndarray]:
+    """The records of one item of ``plan`` as arrays of at most ``batchrecords``; mapped, not copied, on local files."""
+    path, start, end, _ = part
     batch = int(options.get("batchrecords", BATCH_RECORDS))
-    placed = _true(options, "withposition", False)
     if end is None:
         with open_plain(path) as stream:
             read_full(stream, _offset(options), path)
@@ -120,7 +120,7 @@ def _read(part: tuple[str, int, int | None, int], options: dict) -> Iterator[pa.
                 full, rest = divmod(len(raw), RECORD_SIZE)
                 if rest:
                     raise TruncatedRecord(_offset(options) + (done + full) * RECORD_SIZE)
-                yield to_batch(np.frombuffer(raw, LAYOUT), done if placed else None)
+                yield np.frombuffer(raw, LAYOUT)
                 done += full
         return
     fs, inner = located(path)
@@ -131,7 +131,15 @@ def _read(part: tuple[str, int, int | None, int], options: dict) -> Iterator[pa.
         raw = np.memmap(inner, LAYOUT, "r", place, (n,)) if local else np.frombuffer(read_at(path, place, n * RECORD_SIZE), LAYOUT)
         if len(raw) < n:
             raise TruncatedRecord(place + len(raw) * RECORD_SIZE)
-        yield to_batch(raw, position + at - start if placed else None)
+        yield raw
+
+
+def read_part(part: tuple[str, int, int | None, int], options: dict) -> Iterator[pa.RecordBatch]:
+    """The same as Arrow batches, with positions if the options ask for them."""
+    position = part[3]
+    for raw in raw_part(part, options):
+        yield to_batch(raw, position if _true(options, "withposition", False) else None)
+        position += len(raw)
 
 
 class RecordReader(DataSourceReader):
@@ -143,7 +151,7 @@ class RecordReader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         if partition.value is not None:
-            yield from _read(partition.value, self.options)
+            yield from read_part(partition.value, self.options)
 
 
 class RecordStreamReader(DataSourceStreamReader):
@@ -166,7 +174,7 @@ class RecordStreamReader(DataSourceStreamReader):
         ]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        yield from _read(partition.value, self.options)
+        yield from read_part(partition.value, self.options)
 
     def commit(self, end: dict) -> None:
         pass

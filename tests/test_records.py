@@ -8,7 +8,7 @@ from tagloom import errors as E
 from tagloom.functions.unsigned import MASK, from_bits, to_bits
 from tagloom.header import Header
 from tagloom.operators import records as ops
-from tagloom.operators.fold import Processor, fold
+from tagloom.operators.fold import Processor, fold, fold_file, scan_totals
 from tagloom.sources.binary import read_records, write_records
 from tagloom.sources.generators import patterned_records
 
@@ -163,10 +163,34 @@ def test_fold_keeps_order_and_handles_nothing(spark, tmp_path):
     assert fold(frame(spark, [(3, 3, 3)], 7), Totals())[0] == 1
 
 
-def test_fold_error(spark):
+@pytest.mark.parametrize("parts", [0, 1, 3, 40])
+def test_fold_of_a_file(spark, tmp_path, parts):
+    path = str(tmp_path / "r")
+    write_records(patterned_records(spark, 2_000), path, Header(16, 12))
+    assert fold_file(spark, path, Order(), parts) == list(range(2_000))
+    write_records(frame(spark, []), path, Header(16, 12))
+    assert fold_file(spark, path, Totals(), parts) == (0, 0, 0)
+
+
+@pytest.mark.parametrize("parts", [0, 1, 7])
+def test_scan_totals(spark, tmp_path, parts):
+    path = str(tmp_path / "r")
+    rows = ALL * 3 + [(MASK, MASK, MASK)] * 50
+    write_records(frame(spark, rows), path, Header(16, 12))
+    n, *sums, checksum = scan_totals(spark, path, parts).first()
+    assert n == len(rows) and [int(x) for x in sums] == [sum(r[i] for r in rows) for i in range(3)]
+    assert checksum == ops.xor_checksum(read_records(spark, path)).first()[0]
+    write_records(frame(spark, []), path, Header(16, 12))
+    assert [int(x) for x in scan_totals(spark, path, parts).first()] == [0] * 5
+
+
+def test_fold_error(spark, tmp_path):
     with pytest.raises(E.ProcessError, match="five") as e:
         fold(frame(spark, [(i, i, i) for i in (3, 4, 5)]), Fails())
     assert e.value.__cause__ is not None
+    write_records(frame(spark, [(i, i, i) for i in (3, 4, 5)]), str(tmp_path / "r"), Header(16, 12))
+    with pytest.raises(E.ProcessError, match="five"):
+        fold_file(spark, str(tmp_path / "r"), Fails())
 
 
 def test_large_partition_has_several_batches(spark, tmp_path):
