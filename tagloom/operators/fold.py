@@ -65,9 +65,8 @@ def fold(df: DataFrame, processor: Processor, partitions: int = 0) -> Any:
 
 def fold_file(spark: SparkSession, path: str, processor: Processor, partitions: int = 0, access: str = "mmap") -> Any:
     """``fold`` over the records of a file that tasks read by themselves: no record passes through the engine, which makes it the
-    fastest way over a file. 0 partitions are as many as the session's default parallelism."""
-    options = {"access": access, "numpartitions": str(partitions or spark.sparkContext.defaultParallelism)}
-    parts = plan(path, options)
+    fastest way over a file. 0 partitions are one for each core, or more, so that none is larger than one of ``read_records``."""
+    parts, options = _parts(spark, path, partitions, access)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -78,6 +77,17 @@ def fold_file(spark: SparkSession, path: str, processor: Processor, partitions:
     return _merge(tasks.mapInArrow(partial, _STATES), len(parts), processor)
 
 
+def _parts(spark: SparkSession, path: str, partitions: int, access: str) -> tuple[list, dict]:
+    options = {"access": access}
+    parts = plan(path, options)
+    cores = spark.sparkContext.defaultParallelism
+    if partitions or len(parts) < cores:
+        options["numpartitions"] = str(partitions or cores)
+        parts = plan(path, options)
+    return parts, options
+
+
+#: What partial states are sent as.
 _STATES = "place bigint, state binary"
 
 
@@ -118,8 +128,7 @@ def scan_totals(spark: SparkSession, path: str, partitions: int = 0, access: str
 
     Sums are exact and unsigned, as DECIMAL(38,0), summed in 32-bit halves; the checksum is the XOR of all fields, as bits.
     """
-    options = {"access": access, "numpartitions": str(partitions or spark.sparkContext.defaultParallelism)}
-    parts = plan(path, options)
+    parts, options = _parts(spark, path, partitions, access)
     halves = [f"{f}_{h}" for f in FIELDS for h in ("low", "high")]
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
