@@ -53,7 +53,8 @@ def accept_waitlist_sample(
 
     ``identity`` names the columns by which a row is one record; rows that agree in them are deliveries of one record and give
     one row. ``scopes`` is an array of scopes a row belongs to, ``sizes`` the number of different records of each scope. A
-    scope with fewer records than ``size`` comes out whole. Ties of keys are broken by ``identity``.
+    scope with fewer records than ``size`` comes out whole. Ties of keys are broken by ``identity``. Sizes that aren't those of the
+    data are an error.
     """
     spark = df.sparkSession
     todo = {s: n for s, n in sizes.items() if n}
@@ -102,6 +103,8 @@ def accept_waitlist_sample(
             done = part if done is None else done.unionByName(part)
         todo = {s: n for s, n in todo.items() if s not in good}
         risk *= risk
+    if todo:
+        raise ValueError(f"the sizes of the scopes {sorted(map(str, todo))} are not those of the data")
     if done is None:
         return df.select(F.lit(None).cast(kind).alias("scope"), *columns).limit(0)
     return done

@@ -78,5 +78,6 @@ def _best(values: DataFrame, k: int | None, least: int) -> DataFrame:
     values = values.where(F.col("n") >= least)
     if k is None:
         return values
-    place = values.select("n").orderBy(F.desc("n")).limit(k).agg(F.min("n").alias("__least"))
-    return values.join(F.broadcast(place), F.col("n") >= F.col("__least")).select("value", "n")
+    values = written(values)
+    places = [r["n"] for r in values.select("n").orderBy(F.desc("n")).limit(k).collect()]
+    return values.where(F.col("n") >= places[-1]) if places else values

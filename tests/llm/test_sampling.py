@@ -66,6 +66,11 @@ def test_bounds_hold_and_are_narrow():
     assert bounds(5, 5, 1e-4) == (1.0, 1.0)
 
 
+def test_wrong_sizes_are_an_error(spark):
+    with pytest.raises(ValueError):
+        accept_waitlist_sample(spark.range(10), ["id"], 50, {"all": 20}, F.array(F.lit("all")))
+
+
 def test_nothing_and_nulls(spark):
     empty = spark.range(0)
     assert accept_waitlist_sample(empty, ["id"], 5, {"all": 0}, F.array(F.lit("all"))).collect() == []
