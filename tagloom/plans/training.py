@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tagloom.operators.profile import profile_files
 from tagloom.operators.salted import salted_distinct_counts
-from tagloom.session import table
+from tagloom.session import table, written
 
 #: A barcode is heavy in a file from one record in so many on.
 P4_PART = 10
@@ -15,7 +15,7 @@ P5_NULL_PART, P5_DISTINCT_PART, P5_SHIFT = 20, 20, 0.4003
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Barcodes with at least a tenth of their file's records that have a barcode."""
-    counts = salted_distinct_counts(table(spark, sf_dir, "records"), ["file_id", "barcode"], {"n": ["rec_no"]})
+    counts = written(salted_distinct_counts(table(spark, sf_dir, "records"), ["file_id", "barcode"], {"n": ["rec_no"]}))
     totals = counts.groupBy("file_id").agg(F.sum("n").alias("total"))
     return counts.join(totals, "file_id").where(F.col("n") * P4_PART >= F.col("total")).select("file_id", "barcode")
 
