@@ -17,7 +17,7 @@ def key(seed, *parts):
 
 
 def sample(df, size, n, seed=0, scopes=None):
-    sizes = {"all": n, "third": len(range(0, n, 3))}
+    sizes = {"all": n} if scopes is not None else {"all": n, "third": len(range(0, n, 3))}
     return accept_waitlist_sample(df, ["id"], size, sizes, kinds() if scopes is None else scopes, seed)
 
 
