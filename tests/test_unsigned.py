@@ -52,12 +52,13 @@ def test_record_order(spark):
 
 
 def test_codec_roundtrip():
-    from hypothesis import given
+    from hypothesis import HealthCheck, given, settings
     from hypothesis import strategies as st
 
     word = st.integers(0, MASK)
 
-    @given(st.lists(st.tuples(word, word, word)))
+    @settings(deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.lists(st.tuples(word, word, word), max_size=50))
     def roundtrip(triples):
         assert decode(encode(triples)) == triples
 
