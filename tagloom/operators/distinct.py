@@ -3,18 +3,25 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: log2 of the records of one file that are kept together; a file of any size falls into such blocks.
+#: log2 of the records of one file that stay together.
 BLOCK_BITS = 12
+#: Buckets of blocks for each shuffle partition: enough for even partitions, and a bound on the rows to which a later
+#: grouping by bucket shrinks a value that is everywhere.
+BUCKETS = 16
 
 
 def distinct_records(records: DataFrame, *columns: str) -> DataFrame:
-    """One row for each (``file_id``, ``rec_no``), with ``columns``: ``file_id, block, rec_no, *columns``.
+    """One row for each record, with ``columns``: ``file_id, bucket, rec_no, *columns``.
 
-    One shuffle, by file and block of ``2**BLOCK_BITS`` positions: a file that holds most of the rows spreads over
-    its blocks, records of one block stay together, so later groupings by file and value shrink before they shuffle,
-    and the result is partitioned by (``file_id``, ``block``). Deliveries of a record are equal, so any stands for all.
-    A null ``file_id`` or ``rec_no`` is a key like others. Other columns of ``records`` are left out.
+    A record is a (``file_id``, ``rec_no``). Deliveries of a record are equal; rows without position, or against the rule, that differ in
+    ``columns`` are different records. A null ``file_id`` or ``rec_no`` is a value like others. Other columns of ``records``
+    are left out.
+
+    One shuffle, by ``bucket``: blocks of ``2**BLOCK_BITS`` positions are spread over so many buckets for each shuffle partition, so a
+    file that holds most of the rows spreads as well. The result is partitioned by ``bucket``: a later grouping by bucket, file and value
+    needs no shuffle and leaves at most as many rows of a file's value as there are buckets, whatever the data.
     """
-    block = F.shiftright(F.col("rec_no").cast("bigint"), BLOCK_BITS).alias("block")
-    rows = records.select("file_id", block, "rec_no", *columns).repartition("file_id", "block")
-    return rows.dropDuplicates(["file_id", "block", "rec_no"])
+    buckets = BUCKETS * int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block = F.shiftright(F.col("rec_no").cast("bigint"), BLOCK_BITS)
+    bucket = F.pmod(F.xxhash64("file_id", block), F.lit(buckets)).cast("int").alias("bucket")
+    return records.select("file_id", bucket, "rec_no", *columns).repartition("bucket").distinct()

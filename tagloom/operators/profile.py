@@ -1,10 +1,11 @@
 """Column profile of record files: one range sort gives exact distincts, ranges, quantiles and Kolmogorov-Smirnov
 distances between the loads of a library.
 
-1. Records are made distinct, unpivoted to (file, column, value) and counted within their blocks.
+1. Records are made distinct, unpivoted to (file, column, value), counted within their buckets and written, so that the range sort,
+   which reads its input twice, repeats none of it.
 2. The counted values are range-sorted by (group, column, value). A group is a library's loads in order, cut every
    ``LOADS`` loads, with the last load of the cut before as context, so the state kept for a group is bounded.
-   A value never lies in two partitions, as its rows are counted before.
+   A value's rows, at most one for each file and bucket, lie in one partition, where they become one row a file.
 3. Each sorted partition is walked once. Groups that lie wholly in it come out with their profile. The first and last
    group of a partition may go on in another; of these every value comes out with the cumulative counts in this
    partition of its own file and of the loads beside it.
@@ -192,14 +193,15 @@ def _merge_parts(walked: DataFrame) -> DataFrame:
         (F.sum("n").over(file.orderBy("pid").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).alias("skip"),
     )
     offsets = written(offsets)
+    n_offsets = offsets.count()
 
     def beside(step: int, tag: str) -> DataFrame:
         moved = offsets.select(
             "gid", "c", (F.col("o") + step).alias("o"), "pid", F.col("total").alias(f"{tag}_total"), F.col("skip").alias(f"{tag}_skip")
         )
-        return F.broadcast(moved)
+        return small(moved, n_offsets)
 
-    # At most 2 * (LOADS + 1) rows a partition, so it is broadcast whatever the input.
+    # At most 2 * (LOADS + 1) rows a partition.
     at = parts.join(beside(0, "own"), ["gid", "c", "o", "pid"])
     at = at.join(beside(1, "before"), ["gid", "c", "o", "pid"], "left").join(beside(-1, "after"), ["gid", "c", "o", "pid"], "left")
     rank = F.col("own_skip") + F.col("upto")
@@ -251,19 +253,23 @@ def profile_files(records: DataFrame, headers: DataFrame) -> DataFrame:
     base = distinct_records(records.where("file_id is not null"), "barcode", "umi")
     pairs = F.explode(F.array(F.struct(F.lit(0).alias("c"), F.col("barcode").alias("v")), F.struct(F.lit(1).alias("c"), F.col("umi").alias("v"))))
     counted = (
-        base.select("file_id", "block", pairs.alias("__p"))
-        .select("file_id", "block", "__p.*")
-        .groupBy("file_id", "block", "c", "v")
+        base.select("file_id", "bucket", pairs.alias("__p"))
+        .select("file_id", "bucket", "__p.*")
+        .groupBy("bucket", "file_id", "c", "v")
         .agg(F.count(F.lit(1)).alias("n"))
     )
     homes = files.select("file_id", "gid", "o").unionByName(
         files.where("next_gid is not null").select("file_id", F.col("next_gid").alias("gid"), F.lit(0).alias("o"))
     )
-    entries = counted.join(small(homes, n_files * 2), "file_id").select(
-        "gid", "c", F.coalesce(ukey("v"), F.lit(-(1 << 63))).alias("v"), "o", "n", F.col("v").isNull().alias("nil")
+    entries = written(
+        counted.join(small(homes, n_files * 2), "file_id").select(
+            "gid", "c", F.coalesce(ukey("v"), F.lit(-(1 << 63))).alias("v"), "o", "n", F.col("v").isNull().alias("nil")
+        )
     )
     partitions = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = entries.repartitionByRange(partitions, "gid", "c", "v").sortWithinPartitions("gid", "c", "v")
+    placed = entries.repartitionByRange(partitions, "gid", "c", "v")
+    once = placed.groupBy("gid", "c", "v", "o", "nil").agg(F.sum("n").alias("n"))  # within the partitions
+    ordered = once.select("gid", "c", "v", "o", "n", "nil").sortWithinPartitions("gid", "c", "v")
     walked = written(ordered.mapInArrow(walk_sorted, _OUT))
     nulls = walked.where("kind = 2 and o > 0").groupBy("gid", "c", "o").agg(F.sum("n").alias("n_nulls"))
     stats = walked.where("kind = 0").select("gid", "c", "o", *(x.partition(" ")[0] for x in _STATS.split(", ")))

@@ -13,22 +13,27 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[int]) -> Iterator
     """Runs of rows that end where a group ends, as (columns, holds the partition's first row, holds its last row).
 
     A group is a run of equal values in the columns ``keys``, which hold no nulls. Memory is bounded by the larger of
-    ``CHUNK`` rows and one group's part of the partition. Every column becomes a numpy array; nulls of nullable
-    columns must be marked by another column, as they come out with a filler.
+    ``CHUNK`` rows and one group's part of the partition; every row is copied once or twice, however long its group. Every column becomes
+    a numpy array; nulls of nullable columns must be marked by another column, as they come out with a filler.
     """
-    held: list[np.ndarray] = []
+    held: list[list[np.ndarray]] = []  # pieces that end with the group that is open
     fresh: list[list[np.ndarray]] = []
     first, waiting = True, 0
 
     def filled(column: pa.Array) -> np.ndarray:
         if column.null_count:
-            column = column.fill_null("" if pa.types.is_string(column.type) else 0)
+            column = column.fill_null("" if pa.types.is_string(column.type) else False if pa.types.is_boolean(column.type) else 0)
         return column.to_numpy(zero_copy_only=False)
 
-    def joined() -> list[np.ndarray]:
-        if not held:
-            return [np.concatenate(x) for x in zip(*fresh)]
-        return [np.concatenate([h, *x]) for h, x in zip(held, zip(*fresh))] if fresh else held
+    def joined(pieces: list[list[np.ndarray]]) -> list[np.ndarray]:
+        return pieces[0] if len(pieces) == 1 else [np.concatenate(x) for x in zip(*pieces)]
+
+    def cut_of(chunk: list[np.ndarray]) -> int:
+        """Where the last group of the chunk begins."""
+        other = np.zeros(len(chunk[0]), bool)
+        for k in keys:
+            other |= chunk[k] != chunk[k][-1]
+        return int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
 
     for b in batches:
         if not b.num_rows:
@@ -37,14 +42,16 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[int]) -> Iterator
         waiting += b.num_rows
         if waiting < CHUNK:
             continue
-        held = joined()
+        chunk = joined(fresh)
         fresh, waiting = [], 0
-        other = np.zeros(len(held[0]), bool)
-        for k in keys:
-            other |= held[k] != held[k][-1]
-        if other.any():
-            cut = int(np.flatnonzero(other)[-1]) + 1
-            yield [x[:cut] for x in held], first, False
-            held, first = [x[cut:] for x in held], False
+        cut = cut_of(chunk)
+        if cut:
+            yield joined([*held, [x[:cut] for x in chunk]]), first, False
+            held, first = [[x[cut:] for x in chunk]], False
+        elif held and any(held[-1][k][-1] != chunk[k][0] for k in keys):
+            yield joined(held), first, False
+            held, first = [chunk], False
+        else:
+            held.append(chunk)
     if held or fresh:
-        yield joined(), first, True
+        yield joined([*held, *fresh]), first, True

@@ -4,11 +4,12 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tagloom.functions.unsigned import MASK, from_bits, to_bits
-from tagloom.operators import profile
+from tagloom.operators import profile, sorted_walk
 from tagloom.operators.distinct import distinct_records
 from tagloom.operators.profile import profile_files
 from tagloom.operators.salted import heavy_keys, salted_distinct_counts
@@ -38,7 +39,7 @@ def rows():
 
 @pytest.fixture(scope="module")
 def records(spark, rows):
-    return spark.createDataFrame(rows, RECORDS).withColumn("n", F.lit("clash")).withColumn("block", F.lit(1)).repartition(6)
+    return spark.createDataFrame(rows, RECORDS).withColumn("n", F.lit("clash")).withColumn("bucket", F.lit(1)).repartition(6)
 
 
 def once(rows):
@@ -49,12 +50,39 @@ def test_distinct_records(records, rows):
     df = distinct_records(records, "barcode", "umi")
     assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert sorted(((r[0], r[2]) for r in df.collect())) == sorted(once(rows))
-    assert df.columns == ["file_id", "block", "rec_no", "barcode", "umi"]
+    assert df.columns == ["file_id", "bucket", "rec_no", "barcode", "umi"]
 
 
 def test_distinct_records_null_keys(spark):
-    df = spark.createDataFrame([(None, 0, 1, 5, 5, 5)] * 2 + [(1, 0, None, 5, 5, 5)] * 2, RECORDS)
+    df = spark.createDataFrame([(None, 0, 1, 5, 5, 5)] * 2 + [(1, 0, None, 5, 5, 5)] * 2 + [(1, 0, None, 5, 6, 5)], RECORDS)
     assert distinct_records(df).count() == 2
+    assert distinct_records(df, "umi").count() == 3
+
+
+def test_whole_groups_are_linear_in_a_long_group(monkeypatch):
+    """Every row is joined a bounded number of times, however long its group; groups come out whole."""
+    monkeypatch.setattr(sorted_walk, "CHUNK", 1_000)
+    copied = []
+    real = np.concatenate
+    monkeypatch.setattr(sorted_walk.np, "concatenate", lambda parts: (copied.append(sum(map(len, parts))), real(parts))[1])
+    key = real([np.zeros(3, np.int64), np.full(200_000, 5), np.arange(6, 2_506), np.full(999, 9_000)])
+    batches = [pa.RecordBatch.from_arrays([pa.array(key[i : i + 300]), pa.array(np.arange(len(key))[i : i + 300])], names=["k", "v"]) for i in range(0, len(key), 300)]
+    out = list(sorted_walk.whole_groups(iter(batches), [0]))
+    assert sum(copied) <= 3 * 2 * len(key)
+    assert real([c[1] for c, _, _ in out]).tolist() == list(range(len(key)))
+    assert all(a[0][0][-1] != b[0][0][0] for a, b in zip(out, out[1:]))
+    assert [f for _, f, _ in out] == [True] + [False] * (len(out) - 1) and [x for _, _, x in out] == [False] * (len(out) - 1) + [True]
+
+
+def test_a_value_in_every_block_shrinks_to_a_row_a_bucket(spark):
+    """Whatever the rows of a value, what is sorted of it is bounded by the number of buckets."""
+    from tagloom.operators.distinct import BUCKETS
+
+    df = spark.range(2_000_000).select(F.lit(1).alias("file_id"), F.col("id").alias("rec_no"), F.lit(7).alias("barcode"))
+    counted = distinct_records(df, "barcode").groupBy("bucket", "file_id", "barcode").agg(F.count(F.lit(1)).alias("n"))
+    assert counted._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    n = [r["n"] for r in counted.collect()]
+    assert len(n) <= BUCKETS * 8 and sum(n) == 2_000_000
 
 
 def by_key(rows, key, measures):
