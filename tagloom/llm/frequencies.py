@@ -19,26 +19,42 @@ from tagloom.session import written
 
 
 def _intervals(n: int, token: pa.DataType, field: pa.DataType):
-    """The walk over a sorted partition of (t1, field, t2.., tn, there2.., theren, doc, weight)."""
+    """The walk over a sorted partition of (t1, field, t2.., tn, there2.., theren, doc, nodoc, weight)."""
     grams = [f"t{k + 1}" for k in range(n)]
     schema = pa.schema(
-        [("field", field), ("n", pa.int32()), *((g, token) for g in grams), ("edge_doc", pa.int64()), ("is_edge", pa.bool_()), ("occurrences", pa.int64()), ("holders", pa.int64())]
-    )
+        [
+            ("field", field), ("n", pa.int32()), *((g, token) for g in grams), ("edge_doc", pa.int64()), ("is_edge", pa.bool_()),
+            ("is_doc", pa.bool_()), ("occurrences", pa.int64()), ("holders", pa.int64()),
+        ]
+    )
+
+    def told_apart(docs: np.ndarray, null: np.ndarray) -> np.ndarray:
+        """``docs`` with a number of its own for null."""
+        if not null.any():
+            return docs
+        free = next(i for i in range(len(docs) + 1) if not (docs[~null] == i).any())
+        return np.where(null, free, docs)
+
+    def rows_before(docs: np.ndarray) -> np.ndarray:
+        """Of each row the place of the row before of the same sequence, or -1; in the order of the deepest interval that is the neighbour."""
+        before = np.full(len(docs), -1)
+        if n == 1:
+            same = np.flatnonzero(docs[1:] == docs[:-1])
+            before[same + 1] = same
+        else:
+            by_doc = np.argsort(docs, kind="stable")
+            same = docs[by_doc][1:] == docs[by_doc][:-1]
+            before[by_doc[1:][same]] = by_doc[:-1][same]
+        return before
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns, first, last in whole_groups(batches, [0, 1]):
             tokens = [columns[0], *columns[2 : 1 + n]]
             there = [np.ones(len(tokens[0]), bool), *(x.astype(bool) for x in columns[1 + n : 2 * n])]
-            fields, docs, weights = columns[1], columns[-2], columns[-1]
+            fields, null, weights = columns[1], columns[-2].astype(bool), columns[-1]
+            docs = told_apart(columns[-3], null)
             rows = len(docs)
-            # The place of the row before of the same sequence; in the order of the deepest interval that is the neighbour.
-            by_doc = np.argsort(docs, kind="stable") if n > 1 else None
-            if by_doc is not None:
-                before = np.full(rows, -1)
-                same = docs[by_doc][1:] == docs[by_doc][:-1]
-                before[by_doc[1:][same]] = by_doc[:-1][same]
-            else:
-                before = np.where(np.append(False, docs[1:] == docs[:-1]), np.arange(rows) - 1, -1)
+            before = rows_before(docs)
             agree = np.append(False, fields[1:] == fields[:-1])
             for k in range(n):
                 agree = agree & np.append(False, (tokens[k][1:] == tokens[k][:-1]) & there[k][1:] & there[k][:-1])
@@ -58,15 +74,15 @@ def _intervals(n: int, token: pa.DataType, field: pa.DataType):
                     edge_at += inside.tolist()
                 at = np.concatenate([starts[real], np.array(edge_at, np.int64)])
                 extra = np.zeros(len(edge_at), np.int64)
-                edge = np.append(open_[real], np.ones(len(edge_at), bool))
-                doc = pa.array(docs[at], pa.int64(), mask=np.append(np.ones(real.sum(), bool), np.zeros(len(edge_at), bool)))
+                is_doc = np.append(np.zeros(real.sum(), bool), np.ones(len(edge_at), bool))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(fields[at], field),
                         pa.array(np.full(len(at), k + 1, np.int32)),
                         *(pa.array(tokens[j][at], token) if j <= k else pa.nulls(len(at), token) for j in range(n)),
-                        doc,
-                        pa.array(edge),
+                        pa.array(docs[at], pa.int64(), mask=~is_doc | null[at]),
+                        pa.array(np.append(open_[real], is_doc[real.sum() :])),
+                        pa.array(is_doc),
                         pa.array(np.append(total[real], extra)),
                         pa.array(np.append(held[real], extra)),
                     ],
@@ -81,55 +97,69 @@ def suffix_frequencies(suffixes: DataFrame, n: int = 1) -> DataFrame:
 
     ``suffixes`` has a row for each place of each sequence, or several equal ones of one sequence as one row:
     ``field`` (kinds of sequences, counted apart), ``t1..tn`` (the tokens from the place on, null past the sequence's end),
-    ``doc`` (the sequence, bigint), ``weight`` (places the row stands for). Rows without ``t1``, ``field`` or ``doc`` are left out. All
-    rows of a k-gram may lie in any number of partitions; what may go on in another one is merged by k-gram.
+    ``doc`` (the sequence, bigint; null is a sequence like others), ``weight`` (places the row stands for). Rows without ``t1`` or
+    ``field`` are left out. All rows of a k-gram may lie in any number of partitions; what may go on in another one is merged by k-gram.
+
+    Suffixes are written before they are sorted, as a range sort reads its input twice. Equal ones of a sequence become one row
+    where they meet, so that a term fills at most a row for each sequence and following term.
     """
     spark = suffixes.sparkSession
     grams = [f"t{k + 1}" for k in range(n)]
     kinds = {f.name: f.dataType for f in suffixes.schema.fields}
     order = ["t1", "field", *grams[1:], "doc"]
-    ready = suffixes.select("field", *grams, F.col("doc").cast("bigint"), F.col("weight").cast("bigint")).dropna(subset=["t1", "field", "doc"])
+    ready = suffixes.select("field", *grams, F.col("doc").cast("bigint"), F.col("weight").cast("bigint")).dropna(subset=["t1", "field"])
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    array = ready.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
-    array = array.select("t1", "field", *grams[1:], *(F.col(g).isNotNull().alias(f"there_{g}") for g in grams[1:]), "doc", "weight")
+    placed = written(ready).repartitionByRange(partitions, *order)
+    once = placed.groupBy(*order).agg(F.sum("weight").alias("weight"))  # within the partitions
+    there = (F.col(g).isNotNull().alias(f"there_{g}") for g in grams[1:])
+    array = once.sortWithinPartitions(*order).select("t1", "field", *grams[1:], *there, "doc", F.col("doc").isNull().alias("nodoc"), "weight")
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
     token, field = (kinds[c].simpleString() for c in ("t1", "field"))
-    out = f"field {field}, n int, " + "".join(f"{g} {token}, " for g in grams) + "edge_doc bigint, is_edge boolean, occurrences bigint, holders bigint"
+    out = (
+        f"field {field}, n int, " + "".join(f"{g} {token}, " for g in grams)
+        + "edge_doc bigint, is_edge boolean, is_doc boolean, occurrences bigint, holders bigint"
+    )
     walked = written(array.mapInArrow(_intervals(n, arrow[token], arrow[field]), out))
     names = ["field", "n", *grams]
     inner = walked.where("not is_edge").select(*names, "occurrences", "holders")
     edges = (
         walked.where("is_edge")
-        .groupBy(*names, "edge_doc")
+        .groupBy(*names, "is_doc", "edge_doc")
         .agg(F.sum("occurrences").alias("occurrences"), F.sum("holders").alias("holders"))
         .groupBy(*names)
-        .agg(F.sum("occurrences").alias("occurrences"), (F.sum("holders") + F.count("edge_doc")).alias("holders"))
+        .agg(F.sum("occurrences").alias("occurrences"), (F.sum("holders") + F.count_if("is_doc")).alias("holders"))
     )
     return inner.unionByName(edges)
 
 
 def text_suffixes(df: DataFrame, doc: str, tokens: str, n: int, field: str = "text") -> DataFrame:
-    """Suffixes, cut to ``n`` tokens, of the token array ``tokens`` of each row; null and empty arrays have none."""
-    places = df.select(F.col(f"`{doc}`").alias("doc"), F.posexplode(F.col(f"`{tokens}`")).alias("at", "t1"), F.col(f"`{tokens}`").alias("all"))
-    later = [F.get("all", F.col("at") + k).alias(f"t{k + 1}") for k in range(1, n)]
-    return places.select(F.lit(field).alias("field"), "t1", *later, "doc", F.lit(1).cast("bigint").alias("weight"))
+    """Suffixes, cut to ``n`` tokens, of the token array ``tokens`` of each row; null and empty arrays have none.
+
+    The windows of a row are cut before they become rows, so that none carries the whole array.
+    """
+    words = F.col(f"`{tokens}`")
+    windows = F.transform(
+        words, lambda word, at: F.struct(word.alias("t1"), *(F.get(words, at + k).alias(f"t{k + 1}") for k in range(1, n)))
+    )
+    grams = [f"t{k + 1}" for k in range(n)]
+    cut = df.select(F.col(f"`{doc}`").alias("doc"), F.explode(windows).alias("__w")).select("doc", "__w.*")
+    return cut.select(F.lit(field).alias("field"), *grams, "doc", F.lit(1).cast("bigint").alias("weight"))
 
 
 def value_frequencies(records: DataFrame, fields: tuple[str, ...] = ("barcode", "index")) -> DataFrame:
     """Of every distinct value of each of ``fields``: ``field, value, n_records, n_files``.
 
-    Records count once however often delivered; nulls are no values. A null ``file_id`` is a file like others.
-    A file's equal values in one block of records become one weighted suffix before they are shuffled.
+    Records count once however often delivered (see ``distinct_records``); nulls are no values. A null ``file_id`` is a file like
+    others. A file's equal values in one bucket of records become one weighted suffix, without a shuffle.
     """
     base = distinct_records(records, *fields)
     kinds = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"`{f}`").alias("t1")) for f in fields))
     weighted = (
-        base.select("file_id", "block", F.explode(kinds).alias("__f"))
-        .select("file_id", "block", "__f.*")
+        base.select("file_id", "bucket", F.explode(kinds).alias("__f"))
+        .select("file_id", "bucket", "__f.*")
         .where("t1 is not null")
-        .groupBy("file_id", "block", "field", "t1")
+        .groupBy("bucket", "file_id", "field", "t1")
         .agg(F.count(F.lit(1)).alias("weight"))
     )
-    lost = F.lit(-(1 << 63))  # stands for the null file
-    out = suffix_frequencies(weighted.select("field", "t1", F.coalesce("file_id", lost).alias("doc"), "weight"))
+    out = suffix_frequencies(weighted.select("field", "t1", F.col("file_id").alias("doc"), "weight"))
     return out.select("field", F.col("t1").alias("value"), F.col("occurrences").alias("n_records"), F.col("holders").alias("n_files"))

@@ -49,28 +49,33 @@ def p2_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sample of all records, of those in files whose header has the sorted bit, and of those in files without."""
-    records = table(spark, sf_dir, "records").select("file_id", "rec_no", "barcode", "umi", "index")
+    """A sample of all records, of those in files whose header has the sorted bit, and of those in files without.
+
+    Rows without position are records of their own if their fields differ.
+    """
+    fields = ("barcode", "umi", "index")
+    bare = F.when(F.col("rec_no").isNull(), F.concat_ws(",", *(F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields)))
+    records = table(spark, sf_dir, "records").select("file_id", "rec_no", *fields, bare.alias("__bare"))
     bits = table(spark, sf_dir, "headers").groupBy("file_id").agg(F.max(F.col("flags").bitwiseAND(F.lit(1))).alias("bit"))
-    per_file = distinct_records(records).groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
+    per_file = distinct_records(records, "__bare").groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
     scope = F.when(F.col("bit") == 1, "sorted").when(F.col("bit") == 0, "unsorted")
     counts = {r["scope"]: r["n"] for r in per_file.join(bits, "file_id", "left").groupBy(scope.alias("scope")).agg(F.sum("n").alias("n")).collect()}
     sizes = {"all": sum(counts.values()), "sorted": counts.get("sorted", 0), "unsorted": counts.get("unsorted", 0)}
     rows = records.join(small(bits, bits.count()), "file_id", "left")
-    sample = accept_waitlist_sample(rows, ["file_id", "rec_no"], P3_SIZE, sizes, F.array_compact(F.array(F.lit("all"), scope)), P3_SEED)
-    return sample.drop("bit")
+    sample = accept_waitlist_sample(rows, ["file_id", "rec_no", "__bare"], P3_SIZE, sizes, F.array_compact(F.array(F.lit("all"), scope)), P3_SEED)
+    return sample.drop("bit", "__bare")
 
 
 QUERIES = {"p1_found": p1_found, "p1_values": p1_values, "p2_found": p2_found, "p2_top": p2_top, "p3_sample": p3_sample}
 
-_ONCE = "r AS (SELECT DISTINCT file_id, rec_no, barcode, umi, \"index\" FROM records)"
+_FILES = "count(DISTINCT file_id) + max(CAST(file_id IS NULL AS BIGINT))"
 _P1 = f"""
-WITH {_ONCE}, n AS (SELECT count(DISTINCT file_id) AS n FROM r),
+WITH r AS (SELECT DISTINCT file_id, rec_no, barcode, "index" FROM records), n AS (SELECT {_FILES} AS n FROM r),
 u AS (SELECT 'barcode' AS field, barcode AS value, file_id FROM r UNION ALL SELECT 'index', "index", file_id FROM r),
-v AS (SELECT field, value, count(*) AS n_records, count(DISTINCT file_id) AS n_files, count(*) <= 2 AS rare,
-        count(DISTINCT file_id) * 2 >= (SELECT n FROM n) AS common FROM u WHERE value IS NOT NULL GROUP BY 1, 2)
+v AS (SELECT field, value, count(*) AS n_records, {_FILES} AS n_files, count(*) <= 2 AS rare,
+        ({_FILES}) * 2 >= (SELECT n FROM n) AS common FROM u WHERE value IS NOT NULL GROUP BY 1, 2)
 """
-_P2 = f"WITH {_ONCE}, n AS (SELECT barcode, count(*) AS n_records FROM r WHERE barcode IS NOT NULL GROUP BY 1) "
+_P2 = "WITH r AS (SELECT DISTINCT file_id, rec_no, barcode FROM records), n AS (SELECT barcode, count(*) AS n_records FROM r WHERE barcode IS NOT NULL GROUP BY 1) "
 
 ORACLE = {
     "p1_values": _P1 + "SELECT * FROM v",
@@ -78,10 +83,13 @@ ORACLE = {
     "p2_found": _P2 + "SELECT barcode FROM n WHERE n_records * 500 >= (SELECT sum(n_records) FROM n)",
     "p2_top": _P2 + "SELECT * FROM n WHERE n_records >= (SELECT min(n_records) FROM (SELECT n_records FROM n ORDER BY 1 DESC LIMIT 100))",
     "p3_sample": f"""
-WITH {_ONCE}, h AS (SELECT file_id, max(flags & 1) AS bit FROM headers GROUP BY 1),
+WITH r AS (SELECT DISTINCT file_id, rec_no, barcode, umi, "index", CASE WHEN rec_no IS NULL THEN coalesce(CAST(barcode AS VARCHAR), '') || ',' ||
+  coalesce(CAST(umi AS VARCHAR), '') || ',' || coalesce(CAST("index" AS VARCHAR), '') END AS bare FROM records),
+h AS (SELECT file_id, max(flags & 1) AS bit FROM headers GROUP BY 1),
 s AS (SELECT 'all' AS scope, r.* FROM r UNION ALL
       SELECT CASE WHEN bit = 1 THEN 'sorted' ELSE 'unsorted' END, r.* FROM r JOIN h USING (file_id) WHERE bit IS NOT NULL)
 SELECT scope, file_id, rec_no, barcode, umi, "index" FROM (
-  SELECT *, row_number() OVER (PARTITION BY scope ORDER BY md5(concat_ws(':', '0', CAST(file_id AS VARCHAR), CAST(rec_no AS VARCHAR))), file_id, rec_no) AS place
-  FROM s) WHERE place <= 50000""",
+  SELECT *, row_number() OVER (PARTITION BY scope ORDER BY md5('0:' || coalesce(CAST(file_id AS VARCHAR), '') || ':' ||
+    coalesce(CAST(rec_no AS VARCHAR), '') || ':' || coalesce(bare, '')), file_id NULLS FIRST, rec_no NULLS FIRST, bare NULLS FIRST) AS place
+  FROM s) WHERE place <= {P3_SIZE}""",
 }

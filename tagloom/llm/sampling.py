@@ -8,7 +8,7 @@ between them is sorted. If a bound fails, which the counts show, it is widened a
 
 from math import log, sqrt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.session import written
@@ -92,13 +92,12 @@ def accept_waitlist_sample(
                 good[s] = want - taken
         accepted = near.where("__key < __take").where(F.col("__scope").isin(list(good)))
         parts = [accepted.select(F.col("__scope").alias("scope"), *columns)]
-        if any(good.values()):
-            room = spark.createDataFrame([(s, x) for s, x in good.items() if x], f"__scope {kind}, __room bigint")
-            order = Window.partitionBy("__scope").orderBy("__key", *(F.col(f"`{c}`") for c in identity))
-            wait = near.where("__key >= __take").join(F.broadcast(room), "__scope")
-            # The waitlist holds about sqrt(size) records, so that one task a scope can sort it.
-            picked = wait.withColumn("__place", F.row_number().over(order)).where("__place <= __room")
-            parts.append(picked.select(F.col("__scope").alias("scope"), *columns))
+        # Every task sorts its part of the waitlist and hands on no more than is wanted, even if the waitlist is the whole scope.
+        order = ["__key", *(F.col(f"`{c}`") for c in identity)]
+        for s, room in good.items():
+            if room:
+                wait = near.where((F.col("__scope") == F.lit(s)) & (F.col("__key") >= F.col("__take")))
+                parts.append(wait.orderBy(*order).limit(room).select(F.col("__scope").alias("scope"), *columns))
         for part in parts:
             done = part if done is None else done.unionByName(part)
         todo = {s: n for s, n in todo.items() if s not in good}

@@ -3,15 +3,32 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom.llm.frequencies import suffix_frequencies, text_suffixes
 from tagloom.llm.packing import pack
 from tagloom.llm.quality import common_set, statistics_column
 from tagloom.llm.tokens import count_column, decode_column, encode_column, model_of
 from tagloom.session import table
 
+#: Words of the longest sequences that are counted; up to so many occurrences one is rare, from this part of the texts on it is common.
+P1_WORDS, P1_RARE, P1_COMMON_PART = 3, 2, 10
+#: What parts words.
+_BLANKS = "[ \\t\\r\\n]+"
 #: Tokens of a container.
 P7_CAPACITY = 4_096
 
 
+def p1_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sequence of up to three words of the documents with its occurrences and the documents that hold it, marked where it is too
+    rare or too common to tell documents apart. Words are what blanks and line ends part."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", F.filter(F.split("text", _BLANKS), lambda w: w != "").alias("words"))
+    n_docs = documents.where(F.size("words") > 0).count()
+    found = suffix_frequencies(text_suffixes(documents, "doc_id", "words", P1_WORDS), P1_WORDS)
+    return found.select(
+        F.concat_ws(" ", *(f"t{k + 1}" for k in range(P1_WORDS))).alias("gram"), F.col("n").alias("n_words"), F.col("occurrences").alias("n_occurrences"),
+        F.col("holders").alias("n_docs"), (F.col("occurrences") <= P1_RARE).alias("rare"), (F.col("holders") * P1_COMMON_PART >= n_docs).alias("common"),
+    )
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return table(spark, sf_dir, "documents").select("doc_id", encode_column(F.col("text"), model_of(spark)).alias("ids"))
@@ -47,5 +64,15 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_statistics(spark, sf_dir).where(F.col("kind").isin("list", "table", "junk")).select("doc_id", "kind")
 
 
-QUERIES = {"p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_found": p7_found, "p7_packing": p7_packing, "p8_found": p8_found, "p8_statistics": p8_statistics}
-ORACLE = {"p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
+QUERIES = {"p1_grams": p1_grams, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_found": p7_found, "p7_packing": p7_packing, "p8_found": p8_found, "p8_statistics": p8_statistics}
+ORACLE = {
+    "p1_grams": f"""
+WITH t AS (SELECT doc_id, regexp_replace(text, '^{_BLANKS}|{_BLANKS}$', '', 'g') AS t FROM documents),
+w AS (SELECT doc_id, regexp_split_to_array(t, '{_BLANKS}') AS w FROM t WHERE t <> ''),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT doc_id, k AS n_words, array_to_string(w[i : i + k - 1], ' ') AS gram
+      FROM p, (SELECT CAST(range AS INT) AS k FROM range(1, {P1_WORDS + 1})) WHERE i + k - 1 <= len(w))
+SELECT gram, n_words, count(*) AS n_occurrences, count(DISTINCT doc_id) AS n_docs, count(*) <= {P1_RARE} AS rare,
+  count(DISTINCT doc_id) * {P1_COMMON_PART} >= (SELECT count(*) FROM w) AS common FROM g GROUP BY 1, 2""",
+    "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+}

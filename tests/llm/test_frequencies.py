@@ -25,7 +25,7 @@ def made(kind, seed=1, docs=60):
     # One word holds a third of all places, one sequence a third of all rows.
     pick = lambda: words[0] if r.random() < 0.33 else r.choice(words)
     out = [(d, [pick() for _ in range(r.choice([0, 1, 2, 30, 60]) if d else 900)]) for d in range(docs)]
-    return [*out, (docs, None), (docs + 1, [words[1]] * 300)]
+    return [*out, (docs, None), (docs + 1, [words[1]] * 300), (None, [words[2], words[0], words[0]] * 50)]
 
 
 @pytest.mark.parametrize("kind", ["bigint", "string"])

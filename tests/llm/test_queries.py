@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from tagloom.llm.queries import ORACLE, QUERIES
@@ -37,3 +39,21 @@ def test_empty_tables(spark, tmp_path):
     )
     for name, query in QUERIES.items():
         assert query(spark, folder).collect() == [], name
+
+
+RECORDS = "file_id bigint, piece_id bigint, rec_no bigint, barcode bigint, umi bigint, index bigint"
+HEADERS = "file_id bigint, library_id bigint, load_no int, bc_len int, umi_len int, flags bigint"
+
+
+@pytest.mark.parametrize("name", ["p1_found", "p1_values", "p2_found", "p2_top", "p3_sample"])
+def test_null_files_and_positions_match_sql(spark, tmp_path, name):
+    """Nulls in every column, repeated rows, and rows without position that differ."""
+    r = random.Random(3)
+    rows = []
+    for i in range(3_000):
+        pick = lambda *some: r.choice([None, *some])
+        row = (pick(1, 2, 3, -(1 << 63)), 0, pick(i, i, i, i % 7), pick(7, 7, r.randrange(60)), pick(1, r.randrange(9)), pick(-1, 5))
+        # Rows of one file and position are deliveries of one record, unless the position is unknown.
+        rows += [row if row[2] is None else (*row[:3], row[2] % 50, row[2] % 3, None if row[2] % 2 else 4)] * r.choice([1, 2])
+    heads = [(1, 1, 1, 16, 12, 1), (2, 1, 2, 16, 12, 0), (2, 1, 2, 16, 12, 0), (None, 1, 2, 16, 12, 1), (3, 1, 2, 16, 12, None)]
+    check(spark, QUERIES[name], ORACLE[name], write_tables(tmp_path, spark, records=(RECORDS, rows), headers=(HEADERS, heads)))
