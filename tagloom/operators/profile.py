@@ -5,7 +5,7 @@ distances between the loads of a library.
    which reads its input twice, repeats none of it.
 2. The counted values are range-sorted by (group, column, value). A group is a library's loads in order, cut every
    ``LOADS`` loads, with the last load of the cut before as context, so the state kept for a group is bounded.
-   A value's rows, at most one for each file and bucket, lie in one partition, where they become one row a file.
+   A value's rows, at most one for each file and bucket, lie in one partition.
 3. Each sorted partition is walked once. Groups that lie wholly in it come out with their profile. The first and last
    group of a partition may go on in another; of these every value comes out with the cumulative counts in this
    partition of its own file and of the loads beside it.
@@ -267,9 +267,7 @@ def profile_files(records: DataFrame, headers: DataFrame) -> DataFrame:
         )
     )
     partitions = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = entries.repartitionByRange(partitions, "gid", "c", "v")
-    once = placed.groupBy("gid", "c", "v", "o", "nil").agg(F.sum("n").alias("n"))  # within the partitions
-    ordered = once.select("gid", "c", "v", "o", "n", "nil").sortWithinPartitions("gid", "c", "v")
+    ordered = entries.repartitionByRange(partitions, "gid", "c", "v").sortWithinPartitions("gid", "c", "v")
     walked = written(ordered.mapInArrow(walk_sorted, _OUT))
     nulls = walked.where("kind = 2 and o > 0").groupBy("gid", "c", "o").agg(F.sum("n").alias("n_nulls"))
     stats = walked.where("kind = 0").select("gid", "c", "o", *(x.partition(" ")[0] for x in _STATS.split(", ")))
