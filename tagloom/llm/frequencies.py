@@ -100,8 +100,8 @@ def suffix_frequencies(suffixes: DataFrame, n: int = 1) -> DataFrame:
     ``doc`` (the sequence, bigint; null is a sequence like others), ``weight`` (places the row stands for). Rows without ``t1`` or
     ``field`` are left out. All rows of a k-gram may lie in any number of partitions; what may go on in another one is merged by k-gram.
 
-    Suffixes are written before they are sorted, as a range sort reads its input twice. Equal ones of a sequence become one row
-    where they meet, so that a term fills at most a row for each sequence and following term.
+    Suffixes are written before they are sorted, as a range sort reads its input twice. The sort key names the sequence as well, so that
+    a term, however frequent, is cut between partitions.
     """
     spark = suffixes.sparkSession
     grams = [f"t{k + 1}" for k in range(n)]
@@ -109,10 +109,8 @@ def suffix_frequencies(suffixes: DataFrame, n: int = 1) -> DataFrame:
     order = ["t1", "field", *grams[1:], "doc"]
     ready = suffixes.select("field", *grams, F.col("doc").cast("bigint"), F.col("weight").cast("bigint")).dropna(subset=["t1", "field"])
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = written(ready).repartitionByRange(partitions, *order)
-    once = placed.groupBy(*order).agg(F.sum("weight").alias("weight"))  # within the partitions
     there = (F.col(g).isNotNull().alias(f"there_{g}") for g in grams[1:])
-    array = once.sortWithinPartitions(*order).select("t1", "field", *grams[1:], *there, "doc", F.col("doc").isNull().alias("nodoc"), "weight")
+    array = written(ready).repartitionByRange(partitions, *order).sortWithinPartitions(*order).select("t1", "field", *grams[1:], *there, "doc", F.col("doc").isNull().alias("nodoc"), "weight")
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
     token, field = (kinds[c].simpleString() for c in ("t1", "field"))
     out = (
@@ -153,7 +151,7 @@ def value_frequencies(records: DataFrame, fields: tuple[str, ...] = ("barcode",
     others. A file's equal values in one bucket of records become one weighted suffix, without a shuffle.
     """
     base = distinct_records(records, *fields)
-    kinds = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"`{f}`").alias("t1")) for f in fields))
+    kinds = F.array(*(F.struct(F.lit(i).alias("field"), F.col(f"`{f}`").alias("t1")) for i, f in enumerate(fields)))
     weighted = (
         base.select("file_id", "bucket", F.explode(kinds).alias("__f"))
         .select("file_id", "bucket", "__f.*")
@@ -162,4 +160,4 @@ def value_frequencies(records: DataFrame, fields: tuple[str, ...] = ("barcode",
         .agg(F.count(F.lit(1)).alias("weight"))
     )
     out = suffix_frequencies(weighted.select("field", "t1", F.col("file_id").alias("doc"), "weight"))
-    return out.select("field", F.col("t1").alias("value"), F.col("occurrences").alias("n_records"), F.col("holders").alias("n_files"))
+    return out.select(F.element_at(F.array(*map(F.lit, fields)), F.col("field") + 1).alias("field"), F.col("t1").alias("value"), F.col("occurrences").alias("n_records"), F.col("holders").alias("n_files"))
