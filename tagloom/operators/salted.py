@@ -1,78 +1,81 @@
-"""Distinct counts per key without tasks that do most of the work.
+"""Distinct counts per key without tasks that do most of the work: two-stage salted aggregation.
 
-Keys with many rows are found on a sample, get a salt, are counted per salt, and the partial counts are merged by the
-key itself; the other keys are counted in one step.
+Keys with many rows are found on a sample and get a salt. Their rows are shuffled by (key, salt), where partial results are computed,
+and the partial results are merged by the key itself; the other keys are counted in one step.
 """
 
-from pyspark.sql import Column, DataFrame
+from math import ceil
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 #: One row in so many, chosen by hash, is looked at to find heavy keys.
 SAMPLE_EVERY = 64
-#: A key is heavy from this part of an average partition on.
-HEAVY_PART = 0.25
+#: A key is heavy from this part of an average partition on, and gets so many salts for each such part it fills.
+HEAVY_PART, SALTS = 0.25, 4
 
 
 def heavy_keys(rows: DataFrame, keys: list[str], spread: list[str], partitions: int) -> list[tuple]:
-    """(key values..., salts) of keys with at least ``HEAVY_PART / partitions`` of the sampled rows.
+    """(key values..., parts) of keys with at least ``HEAVY_PART / partitions`` of the sampled rows, in one pass over them.
 
-    As shares add up to 1, there are at most ``partitions / HEAVY_PART`` of them, whatever the data. A key that
-    the sample misses or wrongly takes only costs time.
+    ``parts`` is the size in such parts. As shares add up to 1, there are at most ``partitions / HEAVY_PART`` such keys,
+    whatever the data. A key that the sample misses or wrongly takes only costs time.
     """
     share = HEAVY_PART / partitions
-    picked = rows.where(F.pmod(F.xxhash64(*spread, F.lit(7)), F.lit(SAMPLE_EVERY)) == 0)
-    counts = picked.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    total = picked.count()
-    least = max(2, share * total)
-    found = counts.where(F.col("__n") >= least).collect()
-    return [(*r[:-1], max(2, round(r[-1] / (share * total)))) for r in found]
+    seen = Observation()
+    picked = rows.where(F.pmod(F.xxhash64(*spread, F.lit(7)), F.lit(SAMPLE_EVERY)) == 0).observe(seen, F.count(F.lit(1)).alias("total"))
+    counts = picked.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    most = counts.orderBy(F.desc("__n")).limit(ceil(1 / share)).collect()
+    if not most:
+        return []
+    least = share * seen.get["total"]
+    return [(*r[:-1], max(2, round(r[-1] / least))) for r in most if r[-1] >= least]
 
 
 def salted_distinct_counts(
-    df: DataFrame, keys: list[str], measures: dict[str, list[str]], partitions: int | None = None
+    df: DataFrame, keys: list[str], measures: dict[str, list[str]], partitions: int | None = None, nulls: tuple[str, ...] = ()
 ) -> DataFrame:
     """For every key the number of distinct values of each measure: ``*keys, *measures`` (bigint, 0 without a value).
 
-    ``measures`` maps a result name to the columns of the counted value; a value with a null in any column is none.
-    Rows with a null in a key are left out. The salt of a heavy key is a hash of the counted value, not a random
-    number: one value always gets one salt, so that partial distinct counts of a key add up exactly and repeated tasks
-    give equal rows. Rows of a heavy key are made distinct before they are shuffled.
+    ``measures`` maps a result name to the columns of the counted value. A value of one column is none if it is null, unless ``nulls`` names
+    the measure; in a value of several columns null is a part like others. Keys are taken with their nulls, as by GROUP BY.
+
+    The salt of a row of a heavy key is a hash of the counted value, not a random number: one value always gets one salt, so that
+    partial distinct counts of a key add up exactly and repeated tasks give equal rows. Key and salt alone decide where a row goes, and
+    the rows of a key and salt are about a sixteenth of an average partition.
     """
     spark = df.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     columns = list(dict.fromkeys([*keys, *(c for m in measures.values() for c in m)]))
     names = {c: f"__k{i}" if c in keys else f"__v{i}" for i, c in enumerate(columns)}
     inner = [names[k] for k in keys]
-    rows = df.select(*(F.col(f"`{c}`").alias(names[c]) for c in columns)).dropna(subset=inner)
+    rows = df.select(*(F.col(f"`{c}`").alias(names[c]) for c in columns))
     spread = [n for n in names.values() if n not in inner] or inner
     heavy = heavy_keys(rows, inner, spread, partitions)
 
-    def value(name: str) -> Column:
-        parts = [F.col(names[c]) for c in measures[name]]
-        if len(parts) == 1:
-            return parts[0]
-        every = parts[0].isNotNull()
-        for p in parts[1:]:
-            every = every & p.isNotNull()
-        return F.when(every, F.struct(*parts))
+    def there(name: str) -> Column:
+        several = len(measures[name]) > 1 or name in nulls
+        return F.lit(True) if several else F.col(names[measures[name][0]]).isNotNull()
 
     # Rows of (key, measure, value), a row for each measure that has a value; parts of other measures are null.
     valued = list(dict.fromkeys(names[c] for m in measures.values() for c in m))
     kinds = {n: rows.schema[n].dataType for n in valued}
-    each = F.array(
-        *(
-            F.struct(
-                F.lit(i).alias("__m"),
-                value(m).isNotNull().alias("__there"),
-                *((F.col(n) if n in {names[c] for c in measures[m]} else F.lit(None).cast(kinds[n])).alias(n) for n in valued),
-            )
-            for i, m in enumerate(measures)
-        )
-    )
 
     def apart(df: DataFrame, *more: str) -> DataFrame:
+        each = F.array(
+            *(
+                F.struct(
+                    F.lit(i).alias("__m"),
+                    there(m).alias("__there"),
+                    *((F.col(n) if n in {names[c] for c in measures[m]} else F.lit(None).cast(kinds[n])).alias(f"__x{n}") for n in valued),
+                )
+                for i, m in enumerate(measures)
+            )
+        )
         return df.select(*inner, *more, F.explode(each).alias("__e")).select(*inner, *more, "__e.*")
 
+    values = [f"__x{n}" for n in valued]
+
     def numbers(df: DataFrame) -> DataFrame:
         by_measure = (F.sum(F.when(F.col("__m") == i, F.col("__n"))) for i in range(len(measures)))
         return df.groupBy(*inner).agg(*(F.coalesce(s, F.lit(0)).cast("bigint").alias(m) for s, m in zip(by_measure, measures)))
@@ -82,29 +85,31 @@ def salted_distinct_counts(
         shuffle again, by key and value."""
         df = df.repartition(*inner)
         if len(measures) == 1:
-            return df.groupBy(*inner).agg(*(F.countDistinct(value(m)).alias(m) for m in measures))
-        distinct = apart(df).select(*inner, "__m", "__there", *valued).distinct()
+            (m,) = measures
+            return df.distinct().groupBy(*inner).agg(F.count_if(there(m)).alias(m))
+        distinct = apart(df).select(*inner, "__m", "__there", *values).distinct()
         return numbers(distinct.groupBy(*inner, "__m").agg(F.count_if("__there").alias("__n")))
 
     out = [*(F.col(names[k]).alias(k) for k in keys), *measures]
     if not heavy:
         return direct(rows).select(*out)
 
-    schema = ", ".join([*(f"{k} {rows.schema[k].dataType.simpleString()}" for k in inner), "__salts int"])
-    marked = rows.join(F.broadcast(spark.createDataFrame(heavy, schema)), inner, "left")
-    light = direct(marked.where(F.col("__salts").isNull()).drop("__salts"))
-    hashes = (F.xxhash64(*(names[c] for c in m)) for m in measures.values())
-    by_value = F.coalesce(*(F.when(F.col("__m") == i, h) for i, h in enumerate(hashes)))
-    spreaded = apart(marked.where(F.col("__salts").isNotNull()), "__salts").where("__there")
+    schema = ", ".join([*(f"{k} {rows.schema[k].dataType.simpleString()}" for k in inner), "__parts int"])
+    listed = spark.createDataFrame(heavy, schema).select("__parts", *(F.col(k).alias(f"__h{k}") for k in inner))  # as many as heavy_keys allows
+    same = F.lit(True)
+    for k in inner:
+        same = same & F.col(k).eqNullSafe(F.col(f"__h{k}"))
+    marked = rows.join(F.broadcast(listed), same, "left").drop(*(f"__h{k}" for k in inner))
+    light = direct(marked.where(F.col("__parts").isNull()).drop("__parts"))
+    # Salts of the measures follow one another. Rows without a value stand for their key in one salt, from each task once.
+    salts = F.col("__parts") * SALTS
+    salt = (F.col("__m") * salts + F.pmod(F.xxhash64(*values), salts)).cast("int")
     partial = (
-        spreaded.withColumn("__salt", F.pmod(by_value, F.col("__salts").cast("bigint")))
-        .select(*inner, "__m", "__salt", *valued)
+        apart(marked.where(F.col("__parts").isNotNull()), "__parts")
+        .select(*inner, "__m", "__there", *values, salt.alias("__salt"))
+        .repartition(*inner, "__salt")
         .distinct()
-        .groupBy(*inner, "__m", "__salt")
-        .agg(F.count(F.lit(1)).alias("__n"))
+        .groupBy(*inner, "__salt", "__m")
+        .agg(F.count_if("__there").alias("__n"))
     )
-    merged = numbers(partial)
-    # A heavy key all of whose values are null in every measure has no partial row; it still is a key.
-    known = spark.createDataFrame([h[:-1] for h in heavy], schema.rpartition(",")[0])
-    whole = F.broadcast(known).join(merged, inner, "left").fillna(0, list(measures))
-    return light.select(*inner, *measures).unionByName(whole.select(*inner, *measures)).select(*out)
+    return light.unionByName(numbers(partial)).select(*out)

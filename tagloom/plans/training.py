@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tagloom.operators.profile import profile_files
 from tagloom.operators.salted import salted_distinct_counts
-from tagloom.session import table, written
+from tagloom.session import small, table, written
 
 #: A barcode is heavy in a file from one record in so many on.
 P4_PART = 10
@@ -13,17 +13,32 @@ P4_PART = 10
 P5_NULL_PART, P5_DISTINCT_PART, P5_SHIFT = 20, 20, 0.4003
 
 
+def _shares(records: DataFrame, column: str) -> DataFrame:
+    """``file_id, barcode`` of barcodes with at least a tenth of the records, of their file, that have one; ``column`` names the position."""
+    counts = salted_distinct_counts(records.where("barcode is not null"), ["file_id", "barcode"], {"n": [column]}, nulls=("n",))
+    counts = written(counts)
+    totals = written(counts.groupBy(F.col("file_id").alias("f")).agg(F.sum("n").alias("total")))
+    at = counts.join(small(totals, totals.count()), F.col("file_id").eqNullSafe(F.col("f")))
+    return at.where(F.col("n") * P4_PART >= F.col("total")).select("file_id", "barcode")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Barcodes with at least a tenth of their file's records that have a barcode."""
-    counts = written(salted_distinct_counts(table(spark, sf_dir, "records"), ["file_id", "barcode"], {"n": ["rec_no"]}))
-    totals = counts.groupBy("file_id").agg(F.sum("n").alias("total"))
-    return counts.join(totals, "file_id").where(F.col("n") * P4_PART >= F.col("total")).select("file_id", "barcode")
+    return _shares(table(spark, sf_dir, "records"), "rec_no")
+
+
+def p4_heavy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``p4_found`` with all files taken as one and a record's file and position as one number: a few keys hold most rows, and are
+    certain to be salted."""
+    place = F.col("file_id") * (1 << 32) + F.col("rec_no")
+    rows = table(spark, sf_dir, "records").select(F.lit(0).cast("bigint").alias("file_id"), "barcode", place.alias("place"))
+    return _shares(rows, "place")
 
 
 def p4_barcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records, distinct UMIs and distinct indexes of every barcode."""
     return salted_distinct_counts(
-        table(spark, sf_dir, "records"),
+        table(spark, sf_dir, "records").where("barcode is not null"),
         ["barcode"],
         {"n_records": ["file_id", "rec_no"], "n_umis": ["umi"], "n_indexes": ["index"]},
     )
@@ -57,7 +72,7 @@ def p5_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p4_found": p4_found, "p4_barcodes": p4_barcodes, "p5_found": p5_found, "p5_profile": p5_profile}
+QUERIES = {"p4_found": p4_found, "p4_heavy": p4_heavy, "p4_barcodes": p4_barcodes, "p5_found": p5_found, "p5_profile": p5_profile}
 
 _ONCE = "r AS (SELECT DISTINCT file_id, rec_no, barcode, umi, \"index\" FROM records)"
 _PROFILE_SQL = f"""
@@ -90,13 +105,17 @@ ks AS (SELECT file_id, column_name, CASE WHEN bool_or(own) AND NOT bool_and(own)
 """
 
 ORACLE = {
-    "p4_found": f"""
-WITH {_ONCE}, n AS (SELECT file_id, barcode, count(*) AS n FROM r WHERE barcode IS NOT NULL GROUP BY 1, 2)
+    "p4_found": """
+WITH r AS (SELECT DISTINCT file_id, rec_no, barcode FROM records),
+n AS (SELECT file_id, barcode, count(*) AS n FROM r WHERE barcode IS NOT NULL GROUP BY 1, 2)
 SELECT file_id, barcode FROM (SELECT *, sum(n) OVER (PARTITION BY file_id) AS total FROM n) WHERE n * 10 >= total""",
-    "p4_barcodes": f"""
-WITH {_ONCE}
-SELECT barcode, count(*) AS n_records, count(DISTINCT umi) AS n_umis, count(DISTINCT "index") AS n_indexes
-FROM r WHERE barcode IS NOT NULL GROUP BY 1""",
+    "p4_heavy": """
+WITH r AS (SELECT DISTINCT file_id * 4294967296 + rec_no AS place, barcode FROM records),
+n AS (SELECT barcode, count(*) AS n FROM r WHERE barcode IS NOT NULL GROUP BY 1)
+SELECT CAST(0 AS BIGINT) AS file_id, barcode FROM n WHERE n * 10 >= (SELECT sum(n) FROM n)""",
+    "p4_barcodes": """
+SELECT barcode, count(DISTINCT {'f': file_id, 'r': rec_no}) AS n_records, count(DISTINCT umi) AS n_umis, count(DISTINCT "index") AS n_indexes
+FROM records WHERE barcode IS NOT NULL GROUP BY 1""",
     "p5_profile": _PROFILE_SQL
     + """SELECT l.file_id, l.column_name, library_id, load_no, declared_len, n_records, n_nulls, n_distinct, min_value, max_value,
   q25, q50, q75, CAST(n_too_wide AS BIGINT) AS n_too_wide, prev_file_id, round(ks, 9) AS ks, round(class_shift, 9) AS class_shift

@@ -1,6 +1,7 @@
 """Distinct records, salted counts and file profiles against brute force."""
 
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -12,8 +13,8 @@ from tagloom.functions.unsigned import MASK, from_bits, to_bits
 from tagloom.operators import profile, sorted_walk
 from tagloom.operators.distinct import distinct_records
 from tagloom.operators.profile import profile_files
-from tagloom.operators.salted import heavy_keys, salted_distinct_counts
-from tests.compare import check, plain
+from tagloom.operators.salted import SALTS, heavy_keys, salted_distinct_counts
+from tests.compare import check, plain, write_tables
 
 RECORDS = "file_id bigint, piece_id bigint, rec_no bigint, barcode bigint, umi bigint, index bigint"
 HEADERS = "file_id bigint, library_id bigint, load_no int, bc_len int, umi_len int, flags bigint"
@@ -42,13 +43,17 @@ def records(spark, rows):
     return spark.createDataFrame(rows, RECORDS).withColumn("n", F.lit("clash")).withColumn("bucket", F.lit(1)).repartition(6)
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def once(rows):
     return {(r[0], r[2]): r for r in rows}
 
 
 def test_distinct_records(records, rows):
     df = distinct_records(records, "barcode", "umi")
-    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert plan_of(df).count("passthrough") == 1
     assert sorted(((r[0], r[2]) for r in df.collect())) == sorted(once(rows))
     assert df.columns == ["file_id", "bucket", "rec_no", "barcode", "umi"]
 
@@ -78,21 +83,19 @@ def test_a_value_in_every_block_shrinks_to_a_row_a_bucket(spark):
     """Whatever the rows of a value, what is sorted of it is bounded by the number of buckets."""
     df = spark.range(2_000_000).select(F.lit(1).alias("file_id"), F.col("id").alias("rec_no"), F.lit(7).alias("barcode"))
     counted = distinct_records(df, "barcode").groupBy("bucket", "file_id", "barcode").agg(F.count(F.lit(1)).alias("n"))
-    assert counted._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert plan_of(counted).count("Exchange ") == 1
     n = [r["n"] for r in counted.collect()]
     assert len(n) <= 8 and sum(n) == 2_000_000
 
 
 def by_key(rows, key, measures):
+    """Values by key; a value that is None is none, one within a tuple is."""
     out = defaultdict(lambda: [set() for _ in measures])
     for r in rows:
-        if None in (k := key(r)):
-            continue
+        found = out[key(r)]
         for place, m in enumerate(measures):
-            if None not in (v := m(r)):
-                out[k][place].add(v)
-            else:
-                out[k]
+            if (v := m(r)) is not None:
+                found[place].add(v)
     return {k: tuple(map(len, v)) for k, v in out.items()}
 
 
@@ -102,13 +105,21 @@ def test_salted_counts(records, rows, partitions):
         records, ["barcode"], {"n_records": ["file_id", "rec_no"], "n_umis": ["umi"], "n": ["index"]}, partitions
     )
     assert got.columns == ["barcode", "n_records", "n_umis", "n"]
-    expected = by_key(rows, lambda r: (r[3],), [lambda r: (r[0], r[2]), lambda r: (r[4],), lambda r: (r[5],)])
+    expected = by_key(rows, lambda r: (r[3],), [lambda r: (r[0], r[2]), lambda r: r[4], lambda r: r[5]])
     assert {(r[0],): tuple(r[1:]) for r in got.collect()} == expected
 
 
-def test_salted_counts_by_two_keys(records, rows):
-    got = salted_distinct_counts(records, ["file_id", "barcode"], {"n": ["rec_no"]}, 8)
-    assert {tuple(r[:2]): (r[2],) for r in got.collect()} == by_key(rows, lambda r: (r[0], r[3]), [lambda r: (r[2],)])
+@pytest.mark.parametrize("nulls", [(), ("n",)])
+def test_salted_counts_by_two_keys_with_nulls(spark, rows, nulls):
+    """Keys and positions may be null; both light and heavy keys are there."""
+    r = random.Random(5)
+    some = [(r.choice([None, row[0]]), 0, r.choice([None, row[2]]), *row[3:]) for row in rows]
+    df = spark.createDataFrame(some, RECORDS).repartition(5)
+    named = df.select(F.col("file_id").alias("a"), F.col("barcode").alias("b"), F.col("rec_no").alias("c"))
+    assert any(None in h for h in heavy_keys(named, ["a", "b"], ["c"], 8))
+    got = salted_distinct_counts(df, ["file_id", "barcode"], {"n": ["rec_no"]}, 8, nulls)
+    one = (lambda x: (x[2],)) if nulls else (lambda x: x[2])
+    assert {tuple(x[:2]): (x[2],) for x in got.collect()} == by_key(some, lambda x: (x[0], x[3]), [one])
 
 
 def test_heavy_keys_are_found_and_few(records):
@@ -118,14 +129,36 @@ def test_heavy_keys_are_found_and_few(records):
     assert dict(found)[77] > 2
 
 
+def test_salt_alone_spreads_a_heavy_key(spark):
+    """Rows of a heavy key are shuffled by key and salt, by nothing else, and then by key; they fill all partitions about alike."""
+    df = spark.range(400_000).select(F.when(F.col("id") % 100 < 90, F.lit(1)).otherwise(F.col("id")).alias("k"), "id")
+    got = salted_distinct_counts(df, ["k"], {"n": ["id"]}, 8)
+    shuffles = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan_of(got))
+    assert [re.sub(r"#\d+L?|, \d+$", "", x) for x in shuffles] == ["__k0", "__k0", "__k0, __salt"]
+    assert {r[0]: r[1] for r in got.where("k = 1 or n <> 1").collect()} == {1: 360_000}
+    salts = 29 * SALTS  # nine tenths of eight partitions are so many quarters
+    placed = df.where("k = 1").withColumn("s", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).repartition(8, "k", "s")
+    sizes = sorted(r["count"] for r in placed.groupBy(F.spark_partition_id().alias("p")).count().collect())
+    assert len(sizes) == 8 and sizes[-1] <= 2 * sizes[4]
+
+
 def test_salted_counts_of_little(spark):
     empty = spark.createDataFrame([], RECORDS)
     measures = {"n_records": ["file_id", "rec_no"], "n_umis": ["umi"]}
     assert salted_distinct_counts(empty, ["barcode"], measures).collect() == []
     nulls = spark.createDataFrame([(1, 1, n, 9, None, None) for n in range(2_000)] + [(1, 1, 0, None, 1, 1)], RECORDS)
-    assert [tuple(r) for r in salted_distinct_counts(nulls, ["barcode"], measures, 2).collect()] == [(9, 2_000, 0)]
+    assert sorted(tuple(r) for r in salted_distinct_counts(nulls, ["barcode"], measures, 2).collect() if r[0]) == [(9, 2_000, 0)]
     only_null = salted_distinct_counts(nulls, ["barcode"], {"n_umis": ["umi"]}, 2)
-    assert [tuple(r) for r in only_null.collect()] == [(9, 0)]
+    assert sorted(tuple(r) for r in only_null.collect() if r[0]) == [(9, 0)]
+
+
+@pytest.mark.parametrize("name", ["p4_found", "p4_heavy", "p4_barcodes"])
+def test_null_files_and_positions_match_sql(spark, tmp_path, name):
+    from tagloom.plans.training import ORACLE, QUERIES
+
+    r = random.Random(3)
+    data = [(r.choice([None, 1, 2]), 0, r.choice([None, n, n]), r.choice([None, 7, n % 9]), r.choice([None, 1]), r.choice([None, n])) for n in range(3_000)]
+    check(spark, QUERIES[name], ORACLE[name], write_tables(tmp_path, spark, records=(RECORDS, data * 2)))
 
 
 def brute_profile(rows, heads):
