@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: One row in so many, chosen by hash, is looked at to find heavy keys.
 SAMPLE_EVERY = 64
 #: A key is heavy from this part of an average partition on, and gets so many salts for each such part it fills.
-HEAVY_PART, SALTS = 0.25, 4
+HEAVY_PART, SALTS = 0.125, 2
 
 
 def heavy_keys(rows: DataFrame, keys: list[str], spread: list[str], partitions: int) -> list[tuple]:
