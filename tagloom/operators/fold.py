@@ -9,12 +9,12 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.errors import ProcessError
+from tagloom.errors import record_error
 from tagloom.functions.unsigned import MASK
+from tagloom.session import written
 from tagloom.sources.binary import plan, raw_part, read_part
 from tagloom.sources.codec import FIELDS
 
@@ -47,20 +47,19 @@ class Processor:
 
 
 def fold(df: DataFrame, processor: Processor, partitions: int = 0) -> Any:
-    """The processor's result over all rows; 0 partitions are as many as the data has.
+    """The processor's result over all rows; 0 partitions are as many as the data has, more than it has are as many, too.
 
-    States are merged in partition order, ``FAN_IN`` at a time, until one is left for the driver. If the processor
-    fails, no result comes out, and its error is the cause of a ``ProcessError``.
+    States are written and merged in partition order, ``FAN_IN`` at a time, until one is left for the driver. If the processor
+    fails, no result comes out, and its error is the cause of a ``ProcessError``; an error of a record file comes out as such.
     """
-    if partitions:
-        df = df.coalesce(partitions) if partitions < df.rdd.getNumPartitions() else df.repartition(partitions)
+    df = df.coalesce(partitions) if partitions else df
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         yield from _state(processor, TaskContext.get().partitionId(), batches)
 
-    return _merge(df.mapInArrow(partial, _STATES), df.rdd.getNumPartitions(), processor)
+    return _merge(df.mapInArrow(partial, _STATES), processor)
 
 
 def fold_file(spark: SparkSession, path: str, processor: Processor, partitions: int = 0, access: str = "mmap") -> Any:
@@ -74,7 +73,7 @@ def fold_file(spark: SparkSession, path: str, processor: Processor, partitions:
                 yield from _state(processor, i, read_part(parts[i], options))
 
     tasks = spark.range(0, len(parts), 1, max(1, len(parts)))
-    return _merge(tasks.mapInArrow(partial, _STATES), len(parts), processor)
+    return _merge(tasks.mapInArrow(partial, _STATES), processor)
 
 
 def _parts(spark: SparkSession, path: str, partitions: int, access: str) -> tuple[list, dict]:
@@ -100,26 +99,29 @@ def _state(processor: Processor, place: int, batches: Iterator[pa.RecordBatch])
         yield pa.RecordBatch.from_pydict({"place": pa.array([place], pa.int64()), "state": [cloudpickle.dumps(state)]})
 
 
-def _merge(states: DataFrame, left: int, processor: Processor) -> Any:
+def _merge(states: DataFrame, processor: Processor) -> Any:
     def merged(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         state = None
         for i, raw in enumerate(table.sort_by("place")["state"].to_pylist()):
             state = cloudpickle.loads(raw) if i == 0 else processor.merge(state, cloudpickle.loads(raw))
         return pa.table({"place": pa.array([key[0].as_py()], pa.int64()), "state": [cloudpickle.dumps(state)]})
 
-    while left > 1:
-        left = -(-left // FAN_IN)
-        states = states.groupBy(F.floor(F.col("place") / FAN_IN).alias("g")).applyInArrow(lambda key, table: merged(key, table), _STATES)
     try:
+        states = written(states)
+        last = states.agg(F.max("place")).first()[0]
+        while last:
+            last //= FAN_IN
+            states = states.groupBy(F.floor(F.col("place") / FAN_IN).alias("g")).applyInArrow(lambda key, table: merged(key, table), _STATES)
         found = states.collect()
-    except PythonException as e:
-        raise ProcessError(f"Processing error: {e}") from e
+    except Exception as e:
+        raise record_error(e) from e
+    assert len(found) <= 1, "states with equal places"
     return processor.finish(cloudpickle.loads(found[0]["state"]) if found else processor.init(0))
 
 
 def fold_columns(df: DataFrame, function, schema: str, merge: dict[str, str]) -> DataFrame:
     """A fold as a DataFrame: ``function`` turns a partition's batches into rows of ``schema``, whose columns are merged by the
-    aggregate functions named in ``merge``."""
+    aggregate functions named in ``merge``. An action on it brings an error in Spark's wrapping; see ``typed_errors``."""
     return df.mapInArrow(function, schema).agg(*(F.expr(f"{how}({c})").alias(c) for c, how in merge.items()))
 
 

@@ -13,6 +13,8 @@ from tagloom.session import written
 from tagloom.sources.binary import check_range
 
 FIELDS = ("barcode", "umi", "index")
+#: Records up to which a slice from the start is taken as the least ones; the result is the same either way.
+FEW = 1_000_000
 
 
 def record_count(df: DataFrame) -> DataFrame:
@@ -89,12 +91,21 @@ def with_positions(df: DataFrame, keys: list[Column]) -> DataFrame:
 def slice_sorted(df: DataFrame, start: int, end: int) -> DataFrame:
     """Records ``start`` to ``end``, exclusive, in unsigned order, with ``position``; bad bounds raise ``InvalidIndex``.
 
-    For a range of a file in its own order use ``read_records(start=, end=)``, which reads no other records.
+    Up to ``FEW`` as ``end`` only so many first records are kept of each task; beyond, all records are sorted. For a range of
+    a file in its own order use ``read_records(start=, end=)``, which reads no other records.
     """
     check_range(start, end, df.count())
+    if end <= FEW:
+        return with_positions(top_records(df, end), record_keys()).where(F.col("position") >= start)
     return with_positions(df.select(*FIELDS), record_keys()).where(F.col("position").between(start, end - 1))
 
 
+def top_records(df: DataFrame, n: int, largest: bool = False) -> DataFrame:
+    """The first ``n`` records in unsigned order, or the last; every task hands on no more than ``n``."""
+    keys = [k.desc() for k in record_keys()] if largest else record_keys()
+    return df.select(*FIELDS).orderBy(*keys).limit(n)
+
+
 def ranked(df: DataFrame) -> DataFrame:
     """All records with ``position`` in unsigned order."""
     return with_positions(df.select(*FIELDS), record_keys())

@@ -1,26 +1,28 @@
 """Queries of the operators on record files and their SQL. Records are made from lineitem and go through a file."""
 
 import gzip
+import io
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.errors import RecordFileError
+from tagloom.errors import InvalidIndex, RecordFileError, record_error, typed_errors
 from tagloom.functions.sequence import decode_bases, encode_bases
 from tagloom.functions.unsigned import lit_u64, record_keys, record_less, u64, u64_sum
 from tagloom.header import Header, header_error
 from tagloom.operators import records as ops
-from tagloom.operators.fold import fold_columns
+from tagloom.operators.fold import Processor, fold, fold_columns, fold_file
 from tagloom.operators.fold import scan_totals as scan_file
 from tagloom.session import remember, shared_dir, table
 from tagloom.sources.binary import append_into, count_records, read_records, write_records
-from tagloom.sources.codec import encode
+from tagloom.sources.codec import FIELDS, encode, from_batch
 from tagloom.sources.files import located, read_header, size_of
 from tagloom.sources.generators import patterned_records, random_records
+from tagloom.sources.standard import read_optional, write_optional
 from tagloom.streaming.append import running_barcode_counts, stream_records
 
 _HEADER = Header(16, 12)
@@ -69,24 +71,35 @@ def directory_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def compressed_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file packed by gzip, in two members."""
+    return _packed(spark, sf_dir, lambda raw: gzip.compress(raw, 1))
+
+
+def zstd_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file packed by zstd, in two frames."""
+    import zstandard
+
+    return _packed(spark, sf_dir, zstandard.ZstdCompressor().compress)
+
+
+def _packed(spark: SparkSession, sf_dir: str, pack: Callable[[bytes], bytes]) -> DataFrame:
     path, packed = _path(spark), _path(spark)
-    write_records(lineitem_records(spark, sf_dir), path, _HEADER)
+    write_records(lineitem_records(spark, sf_dir), path, _HEADER, layout="file")
     fs, inner = located(path)
     other, target = located(packed)
     with fs.open_input_file(inner) as source, other.open_output_stream(target, compression=None) as out:
         while chunk := source.read(size_of(path) // 2 + 1):
-            out.write(gzip.compress(chunk, 1))
+            out.write(pack(chunk))
     return read_records(spark, packed).repartition(8)
 
 
 def stream_barcode_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts per barcode by a stream over a file that has grown."""
-    path, name = _path(spark), f"counts_{uuid.uuid4().hex}"
+    path, counts = _path(spark), _path(spark)
     rows = lineitem_records(spark, sf_dir)
     write_records(rows.where("umi % 2 = 0"), path, _HEADER)
     write_records(rows.where("umi % 2 = 1"), path, _HEADER, mode="append")
-    running_barcode_counts(stream_records(spark, path), name, _path(spark)).awaitTermination()
-    return spark.table(name)
+    running_barcode_counts(stream_records(spark, path), counts, _path(spark)).awaitTermination()
+    return spark.read.parquet(counts)
 
 
 def random_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,10 +129,7 @@ def file_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     found = []
     for case, (raw, options) in cases.items():
-        path = _path(spark)
-        fs, inner = located(path)
-        with fs.open_output_stream(inner, compression=None) as out:
-            out.write(raw)
+        path = _put(spark, raw)
         try:
             read_records(spark, path, **options)
             found.append((case, None))
@@ -128,6 +138,85 @@ def file_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(found, "case string, error string")
 
 
+def packed_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The error of each kind of broken compressed file, which only a task sees."""
+    raw = _HEADER.to_bytes() + encode([(i, 0, i * i) for i in range(20_000)])
+    cases = {"cut_record": gzip.compress(raw[:-5], 1), "cut_stream": gzip.compress(raw, 1)[:-300], "good": gzip.compress(raw, 1)}
+    found = []
+    for case, packed in cases.items():
+        path = _put(spark, packed)
+        try:
+            with typed_errors():
+                found.append((case, None, read_records(spark, path).count()))
+        except RecordFileError as e:
+            found.append((case, type(e).__name__, getattr(e, "pos", None)))
+    return spark.createDataFrame(found, "case string, error string, number bigint")
+
+
+def wrapped_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of other kinds as those of record files."""
+    cases = {"value": ValueError("x"), "system": FileNotFoundError("x"), "own": InvalidIndex(2, 1)}
+    found = [(case, type(record_error(e)).__name__, record_error(e) is e) for case, e in cases.items()]
+    return spark.createDataFrame(found, "case string, error string, same boolean")
+
+
+def directory_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A directory of files after fifteen appends."""
+    rows, path = lineitem_records(spark, sf_dir), _path(spark)
+    for i in range(16):
+        write_records(rows.where(F.col("barcode") % 16 == i), path, _HEADER, mode="append", layout="directory", sort=i == 0)
+    return read_records(spark, path).withColumn("claimed", F.lit(read_header(path).sorted))
+
+
+def append_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What can't be appended, and the records that are there after it has been refused."""
+    rows, found = patterned_records(spark, 100), []
+    for there in ("file", "directory"):
+        for case, header, layout in (
+            ("lengths", Header(20, 12), there), ("other_layout", _HEADER, "file" if there == "directory" else "directory"), ("good", _HEADER, "auto"),
+        ):
+            path = _path(spark)
+            write_records(rows, path, _HEADER, layout=there)
+            try:
+                write_records(rows, path, header, mode="append", layout=layout)
+                error = None
+            except RecordFileError as e:
+                error = type(e).__name__
+            found.append((there, case, error, read_records(spark, path).count()))
+    return spark.createDataFrame(found, "there string, case string, error string, n_records bigint")
+
+
+def written_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts that a write and an append give."""
+    rows, path = lineitem_records(spark, sf_dir), _path(spark)
+    first = write_records(rows, path, _HEADER)
+    again = write_records(rows.where("umi < 1000"), path, _HEADER, mode="append")
+    return spark.createDataFrame([(first, again)], "first_write bigint, append bigint")
+
+
+def standard_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written to a stream as standard output and read from it as standard input."""
+    out = io.BytesIO()
+    write_optional(lineitem_records(spark, sf_dir), None, _HEADER, stream=out)
+    return read_optional(spark, None, stream=io.BytesIO(out.getvalue()))
+
+
+def header_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Different headers among the table's rows, as objects and as rows."""
+    heads = table(spark, sf_dir, "headers").select("magic", "version", "bc_len", "umi_len", "flags", "reserved").where("reserved is not null").dropna()
+    objects = {Header(r["bc_len"], r["umi_len"], r["flags"], bytes(r["reserved"]), r["magic"], r["version"]) for r in heads.distinct().collect()}
+    again = {Header.from_json(h.to_json()) for h in objects}
+    return spark.createDataFrame([(len(objects), objects == again)], "n_headers bigint, same_by_json boolean")
+
+
+def _put(spark: SparkSession, raw: bytes) -> str:
+    path = _path(spark)
+    fs, inner = located(path)
+    with fs.open_output_stream(inner, compression=None) as out:
+        out.write(raw)
+    return path
+
+
 def record_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.record_count(_filed(spark, sf_dir))
 
@@ -176,6 +265,11 @@ def slice_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.slice_sorted(_filed(spark, sf_dir, high=True), *_SLICE)
 
 
+def top_unsigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten greatest records, with values of 2^63 and more."""
+    return ops.top_records(_filed(spark, sf_dir, high=True), 10, largest=True)
+
+
 def single_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _filed(spark, sf_dir, sort=True, start=50, end=51)
 
@@ -240,6 +334,81 @@ def fold_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*(F.col(n).cast("bigint").alias(n) for n in names))
 
 
+class SumProcessor(Processor):
+    """Unsigned sums of the fields, records, batches and the partitions they were in, with the first and last record in their order."""
+
+    def init(self, partition: int) -> dict:
+        return {"parts": [partition], "n": 0, "sums": [0, 0, 0], "batches": 0, "ends": []}
+
+    def process_batch(self, state: dict, batch: pa.RecordBatch) -> dict:
+        rows = from_batch(batch)
+        state["n"] += len(rows)
+        for i, f in enumerate(FIELDS):
+            state["sums"][i] += int((rows[f] >> np.uint64(32)).sum()) * (1 << 32) + int((rows[f] & np.uint64(0xFFFFFFFF)).sum())
+        ends = [tuple(map(int, rows[i])) for i in (0, -1)]
+        state["ends"] = [state["ends"][0] if state["ends"] else ends[0], ends[1]]
+        return state
+
+    def on_batch_complete(self, state: dict) -> dict:
+        state["batches"] += 1
+        return state
+
+    def merge(self, left: dict, right: dict) -> dict:
+        return {
+            "parts": left["parts"] + right["parts"], "n": left["n"] + right["n"], "sums": [a + b for a, b in zip(left["sums"], right["sums"])],
+            "batches": left["batches"] + right["batches"], "ends": [left["ends"][0], right["ends"][1]],
+        }
+
+
+class _Failing(SumProcessor):
+    """Fails on a record whose index is 5."""
+
+    def process_batch(self, state: dict, batch: pa.RecordBatch) -> dict:
+        if (batch.column("index").to_numpy() == 5).any():
+            raise ValueError("index 5")
+        return state
+
+
+_SUMMED = "n_records bigint, barcode_sum string, umi_sum string, index_sum string, first_barcode string, last_barcode string, n_partitions bigint, in_order boolean, whole_batches boolean"
+
+
+def _summed(spark: SparkSession, s: dict) -> DataFrame:
+    row = (
+        s["n"], *map(str, s["sums"]), str(s["ends"][0][0]), str(s["ends"][1][0]), len(s["parts"]), s["parts"] == sorted(s["parts"]),
+        s["batches"] >= len(s["parts"]),
+    )
+    return spark.createDataFrame([row], _SUMMED)
+
+
+def fold_processor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A processor of one's own over the rows of a sorted file in six partitions."""
+    return _summed(spark, fold(_filed(spark, sf_dir, high=True, sort=True, partitions=6), SumProcessor()))
+
+
+def fold_file_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by twenty tasks that read the file themselves, more than are merged at once."""
+    path = _path(spark)
+    write_records(lineitem_records(spark, sf_dir, True), path, _HEADER, sort=True)
+    return _summed(spark, fold_file(spark, path, SumProcessor(), 20))
+
+
+def fold_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a failing processor gives, over rows and over a file, and one that doesn't meet the record."""
+    path, found = _path(spark), []
+    rows = lineitem_records(spark, sf_dir)
+    write_records(rows, path, _HEADER)
+    for case, run in (
+        ("rows", lambda: fold(rows, _Failing())), ("file", lambda: fold_file(spark, path, _Failing(), 3)),
+        ("without", lambda: fold(rows.where("index <> 5"), _Failing())),
+    ):
+        try:
+            run()
+            found.append((case, None, False))
+        except RecordFileError as e:
+            found.append((case, type(e).__name__, "index 5" in str(e)))
+    return spark.createDataFrame(found, "case string, error string, names_cause boolean")
+
+
 def scan_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals by tasks that read the file themselves."""
     path = _path(spark)
@@ -304,7 +473,8 @@ QUERIES = {
         roundtrip, bulk_load, mmap_load, directory_layout, compressed_load, stream_barcode_counts, random_shape, file_errors, record_count, size_count, header_row, field_sums, index_sum, barcode_counts,
         xor_checksum, sorted_rank, slice_100_200, slice_sorted, single_record, verify_sorted, distinct_records, min_max_record,
         hi_min_max, record_order, ingest_concat, append_mode, fold_sums, scan_totals, partition_plan, pattern_checksum, header_validation,
-        record_hex, json_roundtrip, hi_sorted, hi_sums, bases, feature_counts,
+        zstd_load, packed_errors, wrapped_errors, directory_append, append_mismatch, written_count, standard_streams, header_equality, top_unsigned,
+        fold_processor, fold_file_sums, fold_error, record_hex, json_roundtrip, hi_sorted, hi_sums, bases, feature_counts,
     )
 }
 
@@ -325,8 +495,29 @@ def _bases_sql() -> str:
     return " || ".join(digit.format(2 * i) for i in reversed(range(16)))
 
 
+def _folded(parts: int) -> str:
+    return f"""WITH {_H} SELECT count(*) AS n_records, CAST(sum(b) AS VARCHAR) AS barcode_sum, CAST(sum(umi) AS VARCHAR) AS umi_sum,
+  CAST(sum("index") AS VARCHAR) AS index_sum, CAST(min(b) AS VARCHAR) AS first_barcode, CAST(max(b) AS VARCHAR) AS last_barcode,
+  CAST({parts} AS BIGINT) AS n_partitions, true AS in_order, true AS whole_batches FROM h"""
+
+
 ORACLE = {
-    **dict.fromkeys(("roundtrip", "bulk_load", "mmap_load", "directory_layout", "compressed_load", "ingest_concat", "append_mode"), _ALL),
+    **dict.fromkeys(("roundtrip", "bulk_load", "mmap_load", "directory_layout", "compressed_load", "zstd_load", "standard_streams", "ingest_concat", "append_mode"), _ALL),
+    "directory_append": f'WITH {_R} SELECT barcode, umi, "index", false AS claimed FROM r',
+    "packed_errors": """SELECT "case", error, CAST(number AS BIGINT) AS number FROM (VALUES ('cut_record', 'TruncatedRecord', 32 + 19999 * 24),
+  ('cut_stream', 'CompressionError', NULL), ('good', NULL, 20000)) AS t("case", error, number)""",
+    "wrapped_errors": """SELECT * FROM (VALUES ('value', 'ProcessError', false), ('system', 'RecordIOError', false), ('own', 'InvalidIndex', true))
+  AS t("case", error, same)""",
+    "append_mismatch": """SELECT there, "case", error, CAST(n AS BIGINT) AS n_records FROM (VALUES ('file'), ('directory')) AS a(there),
+  (VALUES ('lengths', 'RecordIOError', 100), ('other_layout', 'RecordIOError', 100), ('good', NULL, 200)) AS t("case", error, n)""",
+    "written_count": "SELECT count(*) AS first_write, count(*) FILTER (l_partkey < 1000) AS append FROM lineitem",
+    "header_equality": """SELECT count(*) AS n_headers, true AS same_by_json FROM (SELECT DISTINCT magic, version, bc_len, umi_len, flags, reserved FROM headers
+  WHERE magic IS NOT NULL AND version IS NOT NULL AND bc_len IS NOT NULL AND umi_len IS NOT NULL AND flags IS NOT NULL AND reserved IS NOT NULL)""",
+    "top_unsigned": f'WITH {_H} SELECT barcode, umi, "index" FROM h ORDER BY b DESC, umi DESC, "index" DESC LIMIT 10',
+    "fold_processor": _folded(6),
+    "fold_file_sums": _folded(20),
+    "fold_error": """SELECT * FROM (VALUES ('rows', 'ProcessError', true), ('file', 'ProcessError', true), ('without', NULL, false))
+  AS t("case", error, names_cause)""",
     **dict.fromkeys(("record_count", "size_count"), "SELECT count(*) AS n_records FROM lineitem"),
     "header_row": "SELECT 2 AS version, 16 AS bc_len, 12 AS umi_len, CAST(1 AS BIGINT) AS flags, true AS sorted",
     "field_sums": f"""WITH {_R} SELECT CAST(sum(barcode) AS BIGINT) AS barcode_sum, CAST(sum(umi) AS BIGINT) AS umi_sum,

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 #: Rows of a small table up to which it is broadcast; about 32 MB at 32 bytes a row.
 BROADCAST_ROWS = 1_000_000
 
-_written: list[tuple[SparkSession, str]] = []
+#: Paths to remove. No session is kept here: functions of this package go to the workers by value, with what they refer to.
+_written: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts the lineage and survives lost executors.
 
-    The table is removed when the driver program ends.
+    The table is removed when the driver program ends, or by ``release``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tagloom-{uuid.uuid4().hex}"
@@ -45,16 +46,28 @@ def remember(spark: SparkSession, path: str) -> None:
     """Have a file or folder removed when the driver program ends."""
     if not _written:
         atexit.register(_remove_written)
-    _written.append((spark, path))
+    _written.append(path)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Remove the intermediate tables written since ``marked()`` gave ``since``: results that were not yet computed need them."""
+    while len(_written) > since:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def marked() -> int:
+    """A point from which ``release`` removes tables."""
+    return len(_written)
 
 
 def _remove_written() -> None:
-    for spark, path in _written:
-        try:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
-        except Exception:  # the session may be gone already
-            return
+    spark = SparkSession.getActiveSession()
+    try:
+        if spark is not None:
+            release(spark)
+    except Exception:  # the session may be gone already
+        pass
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:

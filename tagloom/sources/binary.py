@@ -4,6 +4,8 @@ Filters are not pushed into the source: in this version of Spark pushed filters
 DataFrame and change later queries on it. Ranges of records are taken by the options ``start`` and ``end``.
 """
 
+import os
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -21,16 +23,19 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tagloom.errors import InvalidIndex, InvalidMapSize, RecordFileError, RecordIOError, TruncatedRecord
+from tagloom.errors import InvalidIndex, InvalidMapSize, RecordFileError, RecordIOError, TruncatedRecord, typed_errors
 from tagloom.functions.unsigned import record_keys
 from tagloom.header import HEADER_SIZE, RECORD_SIZE, Header
 from tagloom.sources.codec import FIELDS, LAYOUT, from_batch, to_batch
-from tagloom.sources.files import compression_of, input_files, located, open_plain, read_at, read_full, read_header, size_of
+from tagloom.sources.files import compression_of, each, header_of, located, open_plain, read_at, read_full, read_header, size_of, sized_files
 
 FORMAT = "tagrecords"
 #: Records of a partition, about 128 MB, and of a batch, unless the options say otherwise.
 PARTITION_RECORDS, BATCH_RECORDS = 5_592_405, 262_144
 ACCESS = ("sequential", "bulk", "mmap")
+LAYOUTS = ("auto", "file", "directory")
+#: Bytes up to which the parts of a written file are joined, unless the layout is asked for; more stay as the files of a directory.
+JOINED_BYTES = 1 << 28
 SCHEMA = StructType([StructField(f, LongType(), False) for f in FIELDS])
 
 
@@ -42,9 +47,9 @@ def _offset(options: dict) -> int:
     return HEADER_SIZE if _true(options, "header", True) else 0
 
 
-def records_in(path: str, options: dict) -> int:
+def records_in(path: str, options: dict, size: int | None = None) -> int:
     """Records of one uncompressed file by its size; an incomplete one is the error of the way of access."""
-    size, skip = size_of(path), _offset(options)
+    size, skip = size_of(path) if size is None else size, _offset(options)
     if size < skip:
         raise RecordIOError(f"{path}: {size} bytes are too few for a header")
     full, rest = divmod(size - skip, RECORD_SIZE)
@@ -66,21 +71,22 @@ def plan(path: str, options: dict) -> list[tuple[str, int, int | None, int]]:
 
     Headers and sizes are checked here, before any row is read. Files of a directory must agree in their lengths.
     """
-    files = input_files(path)
     access = options.get("access", "sequential")
     if access not in ACCESS:
         raise ValueError(f"access is one of {', '.join(ACCESS)}")
-    lengths = set()
-    packed = access == "sequential"
+    packed, headed = access == "sequential", bool(_offset(options))
+
+    def looked_at(file: tuple[str, int]) -> tuple[Header | None, str | None]:
+        if headed:
+            return header_of(file[0], packed)
+        return None, compression_of(file[0]) if packed else None
+
+    files = sized_files(path)
+    found = each(looked_at, files)
+    lengths = {(h.bc_len, h.umi_len) for h, _ in found if h}
+    sizes = [(f, None if kind else records_in(f, options, size)) for (f, size), (_, kind) in zip(files, found)]
     parts: list[tuple[str, int, int | None, int]] = []
     known = 0
-    sizes: list[tuple[str, int | None]] = []
-    for f in files:
-        kind = compression_of(f) if packed else None
-        if _offset(options):
-            header = read_header(f) if packed else Header.from_bytes(_head(f)).validate()
-            lengths.add((header.bc_len, header.umi_len))
-        sizes.append((f, None if kind else records_in(f, options)))
     if len(lengths) > 1:
         raise RecordIOError(f"{path}: the files differ in barcode or UMI length")
     if any(n is None for _, n in sizes):
@@ -108,6 +114,54 @@ def _head(path: str) -> bytes:
     return raw
 
 
+def _copy(fs: pafs.FileSystem, path: str, out, skip: int = 0) -> None:
+    """The bytes of a file from ``skip`` on, to the end of another."""
+    if isinstance(fs, pafs.LocalFileSystem) and hasattr(out, "fileno"):
+        out.flush()
+        with open(path, "rb") as source:
+            at, left = skip, os.fstat(source.fileno()).st_size - skip
+            while left > 0 and (n := os.sendfile(out.fileno(), source.fileno(), at, left)):  # without passing through this process
+                at, left = at + n, left - n
+        return
+    with fs.open_input_stream(path, compression=None) as source:
+        source.read(skip)
+        while chunk := source.read(1 << 24):
+            out.write(chunk)
+
+
+def _created(fs: pafs.FileSystem, path: str):
+    return open(path, "wb") if isinstance(fs, pafs.LocalFileSystem) else fs.open_output_stream(path, compression=None)
+
+
+def _extend(target: str, header: Header | None, parts: list[tuple[pafs.FileSystem, str, int]]) -> None:
+    """Add the bytes of ``parts``, each from a place on, to a file, which no longer claims to be sorted.
+
+    A local file is extended in place and cut back if that fails; elsewhere, where files can't be changed, it is written anew.
+    """
+    fs, inner = located(target)
+    kept = header.with_sorted(False).to_bytes() if header else b""
+    if isinstance(fs, pafs.LocalFileSystem):
+        size = os.path.getsize(inner)
+        with open(inner, "r+b") as out:
+            try:
+                out.seek(size)
+                for source, path, skip in parts:
+                    _copy(source, path, out, skip)
+                out.flush()
+                os.pwrite(out.fileno(), kept, 0)
+            except BaseException:
+                os.ftruncate(out.fileno(), size)
+                raise
+        return
+    joined = f"{inner}.{uuid.uuid4().hex}"
+    with _created(fs, joined) as out:
+        out.write(kept)
+        _copy(fs, inner, out, len(kept))
+        for source, path, skip in parts:
+            _copy(source, path, out, skip)
+    fs.move(joined, inner)
+
+
 def raw_part(part: tuple[str, int, int | None, int], options: dict) -> Iterator[np.ndarray]:
     """The records of one item of ``plan`` as arrays of at most ``batchrecords``; mapped, not copied, on local files."""
     path, start, end, _ = part
@@ -183,17 +237,37 @@ class RecordStreamReader(DataSourceStreamReader):
         pass
 
 
+def check_append(path: str, header: Header | None, layout: str) -> None:
+    """Whether records with this header can be added to what is at ``path``: an error before anything is written."""
+    fs, inner = located(path)
+    there = "directory" if fs.get_file_info(inner).type == pafs.FileType.Directory else "file"
+    if layout not in ("auto", there):
+        raise RecordIOError(f"{path} is a {there}, to which a {layout} can't be appended")
+    if there == "directory" and header is None:
+        raise RecordIOError(f"{path}: files of a directory need headers")
+    plan(path, {"access": "bulk", "header": str(header is not None).lower()})
+    if header is not None and sized_files(path):
+        old = read_header(path)
+        if (old.bc_len, old.umi_len) != (header.bc_len, header.umi_len):
+            raise RecordIOError(f"{path}: appended records differ in barcode or UMI length")
+
+
 class RecordWriter(DataSourceArrowWriter):
-    """Tasks write their records as parts without header beside the target; ``commit`` joins them in order of partitions, or,
-    with the option ``layout`` as ``directory``, leaves them as files with headers. ``abort`` removes the parts."""
+    """Tasks write their records as parts beside the target. ``commit`` joins them in order of partitions, or makes them the files of a
+    directory, or one more folder of it. ``abort`` removes the parts. The number of records goes to the file ``receipt``, if given."""
 
     def __init__(self, options: dict, overwrite: bool):
         self.options, self.overwrite = options, overwrite
         self.target = options["path"].rstrip("/")
         self.parts = f"{self.target}.parts-{uuid.uuid4().hex}"
-        self.directory = options.get("layout", "file") == "directory"
+        self.layout = options.get("layout", "auto")
         self.header = Header.from_bytes(bytes.fromhex(options["headerhex"])) if "headerhex" in options else None
         fs, inner = located(self.target)
+        self.kind = fs.get_file_info(inner).type
+        self.append = not overwrite and self.kind != pafs.FileType.NotFound
+        if self.append:
+            check_append(self.target, self.header, self.layout)
+            self.header = self.header and self.header.with_sorted(False)
         fs.create_dir(located(self.parts)[1], recursive=True)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
@@ -203,11 +277,11 @@ class RecordWriter(DataSourceArrowWriter):
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}"
         fs, folder = located(self.parts)
         count = 0
-        with fs.open_output_stream(f"{folder}/{name}", compression=None) as out:
-            if self.directory and self.header:
+        with _created(fs, f"{folder}/{name}") as out:
+            if self.header:
                 out.write(self.header.to_bytes())
             for batch in iterator:
-                out.write(from_batch(batch).tobytes())
+                out.write(from_batch(batch))
                 count += batch.num_rows
         message = WriterCommitMessage()
         message.place, message.name, message.count = task.partitionId(), name, count
@@ -215,54 +289,63 @@ class RecordWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         done = sorted((m for m in messages if m is not None), key=lambda m: m.place)
+        count = sum(m.count for m in done)
         fs, target = located(self.target)
         folder = located(self.parts)[1]
-        if self.directory:
-            if fs.get_file_info(target).type != pafs.FileType.NotFound and self.overwrite:
-                fs.delete_dir(target) if fs.get_file_info(target).type == pafs.FileType.Directory else fs.delete_file(target)
-            kept = {m.name for m in done}
+        directory = self.layout == "directory" or (self.layout == "auto" and self.header is not None and count * RECORD_SIZE > JOINED_BYTES)
+        if self.append:
+            directory = self.kind == pafs.FileType.Directory
+        if directory:
+            # Names are bounded, and attempts that weren't taken aren't left behind.
             for info in fs.get_file_info(pafs.FileSelector(folder)):
-                if info.base_name not in kept:
+                if info.base_name not in {m.name for m in done}:
                     fs.delete_file(info.path)
-            if fs.get_file_info(target).type == pafs.FileType.NotFound:
-                fs.move(folder, target)
-            else:
-                prefix = uuid.uuid4().hex[:8]
-                last = max((i.base_name for i in fs.get_file_info(pafs.FileSelector(target))), default="")
-                for m in done:
-                    fs.move(f"{folder}/{m.name}", f"{target}/{last}~{prefix}-{m.name}")
-                fs.delete_dir(folder)
-            return
-        joined = f"{folder}/joined"
-        with fs.open_output_stream(joined, compression=None) as out:
-            if not self.overwrite and fs.get_file_info(target).type == pafs.FileType.File:
-                self._keep(fs, target, out)
-            elif self.header:
-                out.write(self.header.to_bytes())
             for m in done:
-                self._copy(fs, f"{folder}/{m.name}", out)
-        if self.overwrite and fs.get_file_info(target).type == pafs.FileType.Directory:
-            fs.delete_dir(target)
-        fs.move(joined, target)
-        fs.delete_dir(folder)
-
-    def _keep(self, fs: pafs.FileSystem, target: str, out) -> None:
-        """Appending keeps the records and the header that are there; it no longer claims to be sorted."""
-        if not self.header:
-            self._copy(fs, target, out)
-            return
-        old = Header.from_bytes(_head(self.target)).validate()
-        if (old.bc_len, old.umi_len) != (self.header.bc_len, self.header.umi_len):
-            raise RecordIOError(f"{self.target}: appended records differ in barcode or UMI length")
-        out.write(old.with_sorted(False).to_bytes())
-        self._copy(fs, target, out, HEADER_SIZE)
+                fs.move(f"{folder}/{m.name}", f"{folder}/part-{m.place:06d}")
+            if self.append:
+                self._add_folder(fs, folder, target)
+            else:
+                self._replace(fs, folder, target)
+        else:
+            skip = HEADER_SIZE if self.header else 0
+            parts = [(fs, f"{folder}/{m.name}", skip) for m in done]
+            if self.append:
+                _extend(self.target, Header.from_bytes(_head(self.target)) if self.header else None, parts)
+            else:
+                joined = f"{folder}/joined"
+                with _created(fs, joined) as out:
+                    out.write(self.header.to_bytes() if self.header else b"")
+                    for part in parts:
+                        _copy(*part[:2], out, part[2])
+                self._replace(fs, joined, target)
+            fs.delete_dir(folder)
+        if "receipt" in self.options:
+            other, receipt = located(self.options["receipt"])
+            with _created(other, receipt) as out:
+                out.write(str(count).encode())
 
     @staticmethod
-    def _copy(fs: pafs.FileSystem, path: str, out, skip: int = 0) -> None:
-        with fs.open_input_stream(path, compression=None) as source:
-            source.read(skip)
-            while chunk := source.read(1 << 24):
-                out.write(chunk)
+    def _add_folder(fs: pafs.FileSystem, folder: str, target: str) -> None:
+        """One move adds all files of an append or none; folders are numbered, and stand behind the files in order of names."""
+        names = [i.base_name for i in fs.get_file_info(pafs.FileSelector(target))]
+        number = 1 + max((int(m.group(1)) for n in names if (m := re.fullmatch(r"parts-(\d+)", n))), default=0)
+        fs.move(folder, f"{target}/parts-{number:09d}")
+
+    @staticmethod
+    def _replace(fs: pafs.FileSystem, new: str, target: str) -> None:
+        """Put ``new`` in place of ``target``; what was there is set aside until that has succeeded. A file is replaced by one move."""
+        kinds = [fs.get_file_info(p).type for p in (new, target)]
+        if kinds[1] == pafs.FileType.NotFound or kinds == [pafs.FileType.File] * 2:
+            fs.move(new, target)
+            return
+        aside = f"{target}.old-{uuid.uuid4().hex}"
+        fs.move(target, aside)
+        try:
+            fs.move(new, target)
+        except BaseException:
+            fs.move(aside, target)
+            raise
+        fs.delete_dir(aside) if kinds[1] == pafs.FileType.Directory else fs.delete_file(aside)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         fs, folder = located(self.parts)
@@ -337,8 +420,7 @@ def count_records(path: str, access: str = "mmap", header: bool = True) -> int:
 
 def load_all(spark: SparkSession, path: str) -> tuple[Header, DataFrame]:
     """Header and records of a whole uncompressed file."""
-    records = read_records(spark, path, access="bulk")
-    return read_header(path), records
+    return read_header(path), read_records(spark, path, access="bulk")
 
 
 def write_records(
@@ -349,39 +431,48 @@ def write_records(
     mode: str = "overwrite",
     sort: bool = False,
     claim_sorted: bool = False,
-    layout: str = "file",
+    layout: str = "auto",
 ) -> int:
-    """Write ``barcode, umi, index`` of ``df``; other columns are left out. The number of records written, by the size of the files.
+    """Write ``barcode, umi, index`` of ``df``; other columns are left out. The number of records written, as the tasks counted them.
 
-    The header is validated before anything is written; None writes records alone. ``sort`` puts the records into unsigned order;
-    the header claims it only then, or if the caller asserts it by ``claim_sorted``. ``layout`` as ``directory`` writes a file per task,
-    without joining them on the driver. Nulls can't be written. ``mode`` as ``append`` keeps what is there.
+    The header is validated, and compared with what is there, before anything is written; None writes records alone. ``sort`` puts the
+    records into unsigned order; the header claims it only then, or if the caller asserts it by ``claim_sorted``. ``layout`` as
+    ``file`` joins the tasks' parts on the driver, ``directory`` leaves a file for each task, and ``auto`` does the one up to
+    ``JOINED_BYTES`` and the other beyond. Nulls can't be written. ``mode`` as ``append`` adds to the file or directory that is
+    there, which doesn't claim to be sorted any more.
     """
     if mode not in ("overwrite", "append", "error", "ignore"):
         raise ValueError(f"unknown mode {mode}")
+    if layout not in LAYOUTS:
+        raise ValueError(f"layout is one of {', '.join(LAYOUTS)}")
     fs, inner = located(path)
     there = fs.get_file_info(inner).type != pafs.FileType.NotFound
     if there and mode == "ignore":
         return 0
     if there and mode == "error":
         raise RecordIOError(f"{path} exists")
-    register(df.sparkSession)
-    rows = df.select(*(df[f].cast("bigint").alias(f) for f in FIELDS))
-    if sort:
-        rows = rows.orderBy(*record_keys())
-    options = {"layout": layout}
+    options = {"layout": layout, "receipt": f"{path.rstrip('/')}.count-{uuid.uuid4().hex}"}
     if header is not None:
         header.validate()
         options["headerhex"] = header.with_sorted(sort or claim_sorted).to_bytes().hex()
+    elif layout == "directory":
+        raise RecordIOError(f"{path}: files of a directory need headers")
     kept = mode == "append" and there
-    headed = header is not None
-    before = count_records(path, "bulk", headed) if kept else 0
-    rows.write.format(FORMAT).options(**options).mode("append" if kept else "overwrite").save(path)
-    return count_records(path, "bulk", headed) - before
+    if kept:
+        check_append(path, header, layout)
+    register(df.sparkSession)
+    rows = df.select(*(df[f].cast("bigint").alias(f) for f in FIELDS))
+    if sort:
+        rows = rows.orderBy(*record_keys())
+    with typed_errors():
+        rows.write.format(FORMAT).options(**options).mode("append" if kept else "overwrite").save(path)
+    count = int(read_at(options["receipt"], 0, 32))
+    fs.delete_file(located(options["receipt"])[1])
+    return count
 
 
 def append_into(target: str, part: str) -> int:
-    """Move the records of ``part``, a file without header, to the end of ``target``; the number of records moved.
+    """Move the records of ``part``, a file without header, to the end of the file ``target``; the number of records moved.
 
     A part with a header is refused, as its header would become records. The target no longer claims to be sorted.
     """
@@ -394,15 +485,10 @@ def append_into(target: str, part: str) -> int:
         else:
             raise RecordIOError(f"{part} has a header")
     moved = records_in(part, {"header": "false", "access": "bulk"})
-    records_in(target, {"access": "bulk"})
     header = Header.from_bytes(_head(target)).validate()
-    fs, inner = located(target)
-    joined = f"{inner}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(joined, compression=None) as out:
-        out.write(header.with_sorted(False).to_bytes() if moved else header.to_bytes())
-        RecordWriter._copy(fs, inner, out, HEADER_SIZE)
-        other, path = located(part)
-        RecordWriter._copy(other, path, out)
-    fs.move(joined, inner)
+    records_in(target, {"access": "bulk"})
+    other, path = located(part)
+    if moved:
+        _extend(target, header, [(other, path, 0)])
     other.open_output_stream(path, compression=None).close()
     return moved

@@ -4,6 +4,7 @@ import bz2
 import gzip
 import io
 import lzma
+from concurrent.futures import ThreadPoolExecutor
 from typing import BinaryIO
 
 import pyarrow.fs as pafs
@@ -16,22 +17,26 @@ _SIGNS = {b"\x1f\x8b": "gzip", b"\x28\xb5\x2f\xfd": "zstd", b"BZh": "bzip2", b"\
 
 
 def located(path: str) -> tuple[pafs.FileSystem, str]:
-    """The file system and the path in it; a path without scheme is local."""
+    """The file system and the path in it; a path without scheme is local. Hadoop's schemes of S3 are taken as S3."""
     if "://" in path or path.startswith("file:/"):
-        return pafs.FileSystem.from_uri(path if "://" in path else "file://" + path[5:])
+        scheme, _, rest = path.partition(":")
+        if scheme == "file":
+            rest = "//" + rest.removeprefix("//")
+        return pafs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}:{rest}")
     return pafs.LocalFileSystem(), path
 
 
-def input_files(path: str) -> list[str]:
-    """``path`` itself, or the files of a directory in order of their names, hidden ones left out; as paths like ``path``."""
+def sized_files(path: str) -> list[tuple[str, int]]:
+    """``path`` itself, or the files below a directory in order of their names, hidden ones left out; paths like ``path`` with sizes."""
     fs, inner = located(path)
     info = fs.get_file_info(inner)
     if info.type == pafs.FileType.NotFound:
         raise RecordIOError(f"{path}: no such file")
     if info.type == pafs.FileType.File:
-        return [path]
-    found = [f.base_name for f in fs.get_file_info(pafs.FileSelector(inner)) if f.type == pafs.FileType.File]
-    return [f"{path.rstrip('/')}/{n}" for n in sorted(found) if n[0] not in "._"]
+        return [(path, info.size)]
+    below = ((f.path[len(info.path) :].strip("/"), f) for f in fs.get_file_info(pafs.FileSelector(inner, recursive=True)))
+    found = [(name, f.size) for name, f in below if f.type == pafs.FileType.File and not any(x[0] in "._" for x in name.split("/"))]
+    return [(f"{path.rstrip('/')}/{name}", size) for name, size in sorted(found)]
 
 
 def size_of(path: str) -> int:
@@ -49,8 +54,8 @@ def read_at(path: str, start: int, length: int) -> bytes:
         raise RecordIOError(f"{path}: {e}") from e
 
 
-def compression_of(path: str) -> str | None:
-    head = read_at(path, 0, 6)
+def compression_of(path: str, head: bytes | None = None) -> str | None:
+    head = read_at(path, 0, 6) if head is None else head
     return next((kind for sign, kind in _SIGNS.items() if head.startswith(sign)), None)
 
 
@@ -105,13 +110,30 @@ def read_full(stream: BinaryIO, size: int, path: str) -> bytes:
     return b"".join(parts)
 
 
+def header_of(path: str, packed: bool) -> tuple[Header, str | None]:
+    """The valid header of one file, and how it is compressed, which only counts if ``packed``; an uncompressed file is opened once."""
+    raw = read_at(path, 0, HEADER_SIZE)
+    kind = compression_of(path, raw) if packed else None
+    if kind:
+        with open_plain(path) as stream:
+            raw = read_full(stream, HEADER_SIZE, path)
+    if len(raw) < HEADER_SIZE:
+        raise RecordIOError(f"{path}: {len(raw)} bytes are too few for a header")
+    return Header.from_bytes(raw).validate(), kind
+
+
+def each(function, items: list) -> list:
+    """``function`` of all items, on the driver, several at a time, as each waits for a file system."""
+    if len(items) < 2:
+        return [function(x) for x in items]
+    with ThreadPoolExecutor(min(32, len(items))) as pool:
+        return list(pool.map(function, items))
+
+
 def read_header(path: str) -> Header:
-    """The valid header of a file, compressed or not; of a directory, that of its first file."""
-    files = input_files(path)
+    """The valid header of a file, compressed or not; of a directory that of its first file, which claims to be sorted if all of them do."""
+    files = sized_files(path)
     if not files:
         raise RecordIOError(f"{path}: no files")
-    with open_plain(files[0]) as stream:
-        raw = read_full(stream, HEADER_SIZE, path)
-    if len(raw) < HEADER_SIZE:
-        raise RecordIOError(f"{path}: {len(raw)} bytes are too few for a header")
-    return Header.from_bytes(raw).validate()
+    headers = each(lambda f: header_of(f[0], True)[0], files)
+    return headers[0].with_sorted(all(h.sorted for h in headers))

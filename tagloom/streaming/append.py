@@ -13,10 +13,11 @@ def stream_records(spark: SparkSession, path: str, header: bool = True, start: i
     return spark.readStream.format(FORMAT).options(header=str(header).lower(), start=str(start)).load(path)
 
 
-def running_barcode_counts(stream: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """Counts per barcode so far, kept in the in-memory table ``name``; meant for tests and small numbers of barcodes."""
+def running_barcode_counts(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Counts per barcode so far, ``barcode, n_records``, as the Parquet table ``path``, replaced after each batch; the counts stay with
+    the executors and the state store, never with the driver. A batch that is repeated after a failure writes the same."""
     counts = stream.groupBy("barcode").agg(F.count(F.lit(1)).alias("n_records"))
     return (
-        counts.writeStream.outputMode("complete").format("memory").queryName(name)
+        counts.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )

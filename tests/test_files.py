@@ -156,11 +156,14 @@ def test_compressed_files(spark, tmp_path, kind, cut):
 def test_truncated_compressed_file_gives_no_result(spark, tmp_path):
     path = tmp_path / "t.gz"
     path.write_bytes(gzip.compress(HEADER.to_bytes() + encode(FEW)[:-3]))
-    with pytest.raises(Exception, match="Truncated record at byte 80"):
+    with pytest.raises(E.TruncatedRecord) as e, E.typed_errors():
         read_records(spark, str(path)).collect()
+    assert e.value.pos == 80 and e.value.__cause__ is not None
     path.write_bytes(gzip.compress(HEADER.to_bytes() + encode(FEW * 5_000))[:-200])
-    with pytest.raises(Exception):
+    with pytest.raises(E.CompressionError), E.typed_errors():
         read_records(spark, str(path)).collect()
+    with pytest.raises(ZeroDivisionError), E.typed_errors():
+        1 / 0
 
 
 def test_load_all(spark, tmp_path):
@@ -196,7 +199,7 @@ def test_modes(spark, tmp_path):
     assert write_records(frame(spark, FEW[:1]), path, HEADER, sort=True) == 1
     assert write_records(frame(spark, FEW[1:]).coalesce(1), path, HEADER, mode="append") == 2
     assert got(read_records(spark, path)) == FEW and not read_header(path).sorted
-    with pytest.raises(Exception, match="differ in barcode or UMI length"):
+    with pytest.raises(E.RecordIOError, match="differ in barcode or UMI length"):
         write_records(frame(spark, FEW), path, Header(10, 12), mode="append")
     with pytest.raises(E.RecordIOError):
         write_records(frame(spark, FEW), path, HEADER, mode="error")
@@ -232,6 +235,77 @@ def test_directory_layout(spark, tmp_path):
         read_records(spark, path)
 
 
+def test_directory_appends(spark, tmp_path):
+    """Names stay short, an append comes in as a whole, the claim to be sorted goes, other lengths and layouts are refused before a row is written."""
+    path = str(tmp_path / "d")
+    for i in range(15):
+        n = write_records(frame(spark, [(i, j, 0) for j in range(3)]).coalesce(2), path, HEADER, layout="directory", mode="append", sort=True)
+        assert n == 3 and read_header(path).sorted == (i == 0)
+    assert [(r[0], r[1]) for r in got(read_records(spark, path))] == [(i, j) for i in range(15) for j in range(3)]
+    assert max(len(p.name) for p in (tmp_path / "d").rglob("*")) < 20
+    before = sorted(tmp_path.rglob("*"))
+    for header, layout in ((Header(20, 12), "auto"), (HEADER, "file"), (None, "auto")):
+        with pytest.raises(E.RecordIOError):
+            write_records(frame(spark, FEW), path, header, mode="append", layout=layout)
+    put(tmp_path / "f", FEW)
+    with pytest.raises(E.RecordIOError):
+        write_records(frame(spark, FEW), str(tmp_path / "f"), HEADER, mode="append", layout="directory")
+    assert sorted(tmp_path.rglob("*")) == sorted([*before, tmp_path / "f"])
+    write_records(frame(spark, FEW).coalesce(1), path, HEADER, layout="file")
+    assert got(read_records(spark, path)) == FEW and (tmp_path / "d").is_file()
+
+
+def test_layout_by_size(spark, tmp_path, monkeypatch):
+    from tagloom.sources.binary import RecordWriter
+
+    path = str(tmp_path / "w")
+    monkeypatch.setattr(binary, "JOINED_BYTES", 24 * 100)
+    for n, directory in ((100, False), (101, True)):
+        writer = RecordWriter({"path": path, "headerhex": HEADER.to_bytes().hex()}, True)
+        (tmp_path / writer.parts.split("/")[-1] / "part-000000-7").write_bytes(HEADER.to_bytes() + encode([(i, 0, 0) for i in range(n)]))
+        message = binary.WriterCommitMessage()
+        message.place, message.name, message.count = 0, "part-000000-7", n
+        writer.commit([message])
+        assert (tmp_path / "w").is_dir() == directory and count_records(path) == n
+
+
+def test_failed_append_to_a_file_leaves_it_as_it_was(spark, tmp_path, monkeypatch):
+    path = put(tmp_path / "t", FEW, HEADER.with_sorted())
+    before = (tmp_path / "t").read_bytes()
+    real = binary._copy
+
+    def broken(fs, source, out, skip=0):
+        real(fs, source, out, skip)
+        raise OSError("disk full")
+
+    monkeypatch.setattr(binary, "_copy", broken)
+    with pytest.raises(OSError):
+        append_into(path, put(tmp_path / "p", FEW, None))
+    assert (tmp_path / "t").read_bytes() == before
+
+
+def test_schemes(monkeypatch):
+    from tagloom.sources import files
+
+    seen = []
+    monkeypatch.setattr(files, "pafs", type("P", (), {"FileSystem": type("F", (), {"from_uri": staticmethod(seen.append)})}))
+    for path in ("s3a://b/x", "s3n://b/x", "s3://b/x", "file:/t/x", "file:///t/x", "gs://b/x"):
+        files.located(path)
+    assert seen == ["s3://b/x"] * 3 + ["file:///t/x"] * 2 + ["gs://b/x"]
+
+
+def test_errors_by_their_messages():
+    for error in (E.TruncatedRecord(80), E.InvalidMapSize(7), E.InvalidIndex(3, 2), E.InvalidMagicNumber(0x21554249, 1), E.InvalidVersion(2, 1),
+                  E.InvalidBarcodeLength(0), E.InvalidUmiLength(-1), E.CompressionError("a: b")):
+        text = f"Traceback: \n tagloom.errors.{type(error).__name__}: {error}\n"
+        again = E.record_error(RuntimeError(text))
+        assert type(again) is type(error) and str(again) == str(error) and vars(again) == vars(error)
+    assert E.record_error(error) is error
+    cause = KeyError("x")
+    assert isinstance(E.record_error(cause), E.ProcessError) and E.record_error(cause).__cause__ is cause
+    assert isinstance(E.record_error(PermissionError("x")), E.RecordIOError)
+
+
 def test_append_into(spark, tmp_path):
     target, part = put(tmp_path / "t", []), put(tmp_path / "p", FEW[:2], None)
     assert append_into(target, part) == 2

@@ -1,3 +1,5 @@
+from pathlib import Path
+
 from tagloom.header import Header
 from tagloom.sources.codec import encode
 from tagloom.streaming.append import running_barcode_counts, stream_records
@@ -9,9 +11,9 @@ def test_appended_records_come_once(spark, tmp_path):
     checkpoint = str(tmp_path / "checkpoint")
 
     def run():
-        query = running_barcode_counts(stream_records(spark, str(path)), "seen", checkpoint)
+        query = running_barcode_counts(stream_records(spark, str(path)), str(tmp_path / "seen"), checkpoint)
         assert query.awaitTermination(120)
-        return {r["barcode"]: r["n_records"] for r in spark.table("seen").collect()}
+        return {r["barcode"]: r["n_records"] for r in spark.read.parquet(str(tmp_path / "seen")).collect()}
 
     assert run() == {1: 2}
     with path.open("r+b") as out:
@@ -31,3 +33,14 @@ def test_header_only_file(spark, tmp_path):
     query = query.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     assert query.awaitTermination(120)
     assert spark.table("none").count() == 0
+
+
+def test_release_removes_intermediate_tables(spark):
+    from tagloom.session import marked, release, written
+
+    point = marked()
+    df = written(spark.range(10))
+    assert df.count() == 10
+    path = df.inputFiles()[0].removeprefix("file://")
+    release(spark, point)
+    assert marked() == point and not Path(path).exists()
