@@ -30,16 +30,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def written(df: DataFrame, *partition_by: str) -> DataFrame:
+def written_at(df: DataFrame) -> str:
+    """Write ``df`` as a Parquet table in the shared folder; its path."""
+    path = f"{shared_dir(df.sparkSession)}/tagloom-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    remember(df.sparkSession, path)
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts the lineage and survives lost executors.
 
     The table is removed when the driver program ends, or by ``release``.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tagloom-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
-    remember(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(written_at(df))
 
 
 def remember(spark: SparkSession, path: str) -> None:
