@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tagloom.llm.frequencies import suffix_frequencies, text_suffixes
 from tagloom.llm.packing import pack
-from tagloom.llm.quality import common_set, statistics_column
+from tagloom.llm.quality import common_path, statistics_column, text_counts
 from tagloom.llm.tokens import count_column, decode_column, encode_column, model_of
 from tagloom.session import table
 
@@ -55,16 +55,22 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and kind of every document."""
-    common = common_set(table(spark, sf_dir, "common_words"))
+    common = common_path(table(spark, sf_dir, "common_words"))
     return table(spark, sf_dir, "documents").select("doc_id", statistics_column(F.col("text"), common).alias("s")).select("doc_id", "s.*")
 
 
+def p8_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain counts and shares of every document's whole text."""
+    counts = {k: F.round(v, 9) if k.endswith("share") else v for k, v in text_counts(F.col("text")).items()}
+    return table(spark, sf_dir, "documents").select("doc_id", *(v.alias(k) for k, v in counts.items()))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are lists, tables or junk."""
     return p8_statistics(spark, sf_dir).where(F.col("kind").isin("list", "table", "junk")).select("doc_id", "kind")
 
 
-QUERIES = {"p1_grams": p1_grams, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_found": p7_found, "p7_packing": p7_packing, "p8_found": p8_found, "p8_statistics": p8_statistics}
+QUERIES = {"p1_grams": p1_grams, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_found": p7_found, "p7_packing": p7_packing, "p8_found": p8_found, "p8_statistics": p8_statistics, "p8_counts": p8_counts}
 ORACLE = {
     "p1_grams": f"""
 WITH t AS (SELECT doc_id, regexp_replace(text, '^{_BLANKS}|{_BLANKS}$', '', 'g') AS t FROM documents),
@@ -74,5 +80,14 @@ g AS (SELECT doc_id, k AS n_words, array_to_string(w[i : i + k - 1], ' ') AS gra
       FROM p, (SELECT CAST(range AS INT) AS k FROM range(1, {P1_WORDS + 1})) WHERE i + k - 1 <= len(w))
 SELECT gram, n_words, count(*) AS n_occurrences, count(DISTINCT doc_id) AS n_docs, count(*) <= {P1_RARE} AS rare,
   count(DISTINCT doc_id) * {P1_COMMON_PART} >= (SELECT count(*) FROM w) AS common FROM g GROUP BY 1, 2""",
+    "p8_counts": """
+WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line FROM documents),
+k AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (regexp_matches(line, '[.!?][ \\t\\r]*$')) AS ends, count(DISTINCT line) AS once
+      FROM l WHERE regexp_matches(line, '[^ \\t\\r]') GROUP BY 1),
+w AS (SELECT doc_id, count(*) AS n_words FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \\t\\r\\n]+')) AS word FROM documents) WHERE word <> '' GROUP BY 1)
+SELECT doc_id, length(text) AS n_chars, CASE WHEN text IS NOT NULL THEN coalesce(n_lines, 0) END AS n_lines,
+  CASE WHEN text IS NOT NULL THEN coalesce(n_words, 0) END AS n_words, CASE WHEN text IS NOT NULL THEN round(coalesce(ends / n_lines, 0), 9) END AS line_end_share,
+  CASE WHEN text IS NOT NULL THEN round(coalesce((n_lines - once) / n_lines, 0), 9) END AS duplicate_share
+FROM documents LEFT JOIN k USING (doc_id) LEFT JOIN w USING (doc_id)""",
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tagloom.llm.quality import FIELDS, common_set, own_text, statistics_column, text_statistics
+from tagloom.llm.quality import FIELDS, _common_at, common_path, own_text, statistics_column, text_statistics
 
 NAMES = [x.partition(" ")[0] for x in FIELDS.split(", ")]
 PROSE = "The boiler was too loud for the room, so we moved it to the shed. Nobody has complained since."
@@ -78,6 +78,14 @@ def test_own_text(text, own):
         ("junk", "Home » Next » Login » FAQ » Prev » Top » Share » Home » FAQ"),
         ("junk", "[b] </div> &nbsp; [/url] <br /> {{0}} [img] &amp;amp; <span> [/b]"),
         ("junk", "valve " * 60),
+        ("junk", (PROSE + "\n\n") * 8),
+        ("junk", (PROSE + "\n") * 8),
+        ("prose", PROSE + "\n\n" + PROSE[::-1] + "\n\n" + PROSE),
+        ("junk", "My screen shows only this:\nkdgz iequifrz ig;uou grqhw,he,oro zagak daozhauh owhlpit fjzw,utlswk;f ahd ulwtje;;we iktwshuh pkh,uofrao"),
+        ("prose", "Il nostro vicino ha comprato una vecchia pompa, ma non funziona ancora; domani proviamo con un altro motore."),
+        ("list", "834 ml speaker; 166 ml chisel; 346 g oven; 573 tbsp speaker; 245 pcs manual"),
+        ("list", "For sale:\nnew ladder, rope and thermostat; careful paint, bracket and warranty; spare shop, lathe and paint; lid"),
+        ("list", "292 pcs stove\n513 m shop\n807 m glue\n799 g lathe\n650 g capacitor\n166 pcs lid"),
         (None, " \n\t "),
         (None, ""),
         (None, None),
@@ -104,6 +112,20 @@ def test_null_and_blank():
     assert stats("  ")["n_chars"] == 2 and stats("  ")["n_words"] == 0
 
 
+def test_unclosed_tags_take_linear_time():
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        began = time.perf_counter()
+        text = "[quote]x\n[/quote] more " * n
+        assert own_text(text) == text.strip()
+        own_text("[quote]x " * n + "\n[/quote]\nmine")
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0]
+    assert own_text("[quote]x " * 9 + "\n[/quote]\nmine") == "mine"
+
+
 def test_very_long_text():
     s = stats((PROSE + "\n") * 20_000)
     assert s["n_lines"] == 20_000 and s["duplicate_line_share"] > 0.99
@@ -113,8 +135,9 @@ def test_column(spark):
     texts = [None, "", PROSE, "- a\n- b\n- c\n- d", "x" * 100_000]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string").withColumn("kind", F.lit("clash"))
     words = spark.createDataFrame([("en", "The"), ("en", "was"), (None, None)], "lang string, word string")
-    common = common_set(words)
+    path = common_path(words)
+    common = _common_at(path)
     assert common == {"the", "was"}
-    got = {r["id"]: tuple(r["s"]) for r in df.select("id", statistics_column(F.col("text"), common).alias("s")).collect()}
+    got = {r["id"]: tuple(r["s"]) for r in df.select("id", statistics_column(F.col("text"), path).alias("s")).collect()}
     assert got == {i: text_statistics(t, common) for i, t in enumerate(texts)}
     assert df.limit(0).select(statistics_column(F.col("text"))).collect() == []
