@@ -400,7 +400,9 @@ def statistics_column(text: Column, common: frozenset[str] | str = frozenset())
         return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types_)], names=_NAMES)
 
     measure.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(measure, f"struct<{', '.join(': '.join(x.split(' ')) for x in FIELDS.split(', '))}>")(text)
+    # Not deterministic for the optimizer, which else measures the texts that a filter on the result keeps a second time.
+    struct = f"struct<{', '.join(': '.join(x.split(' ')) for x in FIELDS.split(', '))}>"
+    return F.arrow_udf(measure, struct).asNondeterministic()(text)
 
 
 def text_counts(text: Column) -> dict[str, Column]:
