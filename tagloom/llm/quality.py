@@ -188,17 +188,20 @@ def line_kind(line: str) -> str:
 
 
 def _shaped(line: str) -> str:
-    if _CELL_TAG.search(line):
-        return "table"
-    if _ITEM_TAG.match(line):
-        return "list"
-    bare = _TAG.sub(" ", line).strip() if ("<" in line or "[" in line or "{" in line or "&" in line) else line.strip()
-    dense = _dense(line)
-    if not bare or (len(_TAG.findall(line)) >= 3 and _letters(bare) < 0.4 * dense):
+    tags, bare = 0, line
+    if "<" in line:
+        if _CELL_TAG.search(line):
+            return "table"
+        if _ITEM_TAG.match(line):
+            return "list"
+    if "<" in line or "[" in line or "{" in line or "&" in line:
+        bare, tags = _TAG.subn(" ", line)
+    bare = bare.strip()
+    if not bare or (tags >= 3 and _letters(bare) < 0.4 * _dense(line)):
         return "junk" if not _BULLET.match(line) or not bare else "list"
     if _LOG.match(bare) or _HEX.match(bare):
         return "junk"
-    if set(bare) <= _RULES and len(bare) > 2:
+    if bare[0] in _RULES and set(bare) <= _RULES and len(bare) > 2:
         return "rule"
     urls = "://" in bare or "www." in bare
     if urls and _letters(_URL.sub("", bare)) < 12:
@@ -215,7 +218,7 @@ def _shaped(line: str) -> str:
         words = len(rest.split())
         if words and (words <= 9 or not _SENTENCE_END.search(rest)) and words <= 14:
             return "list"
-    if _PAIR.match(bare):
+    if (":" in bare or "=" in bare) and _PAIR.match(bare):
         return "list"
     letters = _letters(bare)
     dense = _dense(bare)
@@ -241,7 +244,8 @@ def _bare_items(lines: list[str], kinds: list[str]) -> list[str]:
     open_ = sum(not _SENTENCE_END.search(lines[i]) for i in items)
     if len(items) < LEAST_ITEMS or len(items) < 0.8 * (len(prose) - 2) or 3 * open_ < len(items) or 10 * inside > len(prose):
         return kinds
-    return ["list" if i in items else k for i, k in enumerate(kinds)]
+    found = set(items)
+    return ["list" if i in found else k for i, k in enumerate(kinds)]
 
 
 _ASCII_BLANKS = bytes(b if chr(b).isalnum() or chr(b) in "'-" else 32 for b in range(128)) + bytes(range(128, 256))

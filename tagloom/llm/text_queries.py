@@ -7,7 +7,7 @@ from tagloom.llm.frequencies import suffix_frequencies, text_suffixes
 from tagloom.llm.packing import pack
 from tagloom.llm.quality import common_path, statistics_column, text_counts
 from tagloom.llm.tokens import count_column, decode_column, encode_column, model_of
-from tagloom.session import table
+from tagloom.session import table, written
 
 #: Words of the longest sequences that are counted; up to so many occurrences one is rare, from this part of the texts on it is common.
 P1_WORDS, P1_RARE, P1_COMMON_PART = 3, 2, 10
@@ -48,6 +48,23 @@ def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the packing: every document is there once and whole, no container is over-full, and there are hardly more
+    containers than the tokens fill, which leaves little space unused."""
+    parts = written(p7_packing(spark, sf_dir))
+    used = parts.groupBy("container").agg(F.sum("n_tokens").alias("used"))
+    fill = used.agg(
+        F.count_if(F.col("used") > P7_CAPACITY).cast("int").alias("n_over_full"),
+        (F.count(F.lit(1)) <= 1.01 * F.ceil(F.coalesce(F.sum("used"), F.lit(0)) / P7_CAPACITY) + 1).alias("well_filled"),
+    ).first()
+    ends = F.col("first_token") + F.col("n_tokens")
+    whole = parts.groupBy("doc_id").agg(
+        ((F.max(ends) == F.sum("n_tokens")) & (F.count(F.lit(1)) == F.max("part") + 1) & ((F.max("part") == 0) | (F.max(ends) > P7_CAPACITY))).alias("whole")
+    )
+    documents = whole.agg(F.count(F.lit(1)).alias("n_documents"), F.count_if("whole").alias("n_whole"))
+    return documents.select("*", *(F.lit(x).alias(c) for c, x in fill.asDict().items()))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that were split."""
     return p7_packing(spark, sf_dir).where("part = 1").select("doc_id")
@@ -70,7 +87,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_statistics(spark, sf_dir).where(F.col("kind").isin("list", "table", "junk")).select("doc_id", "kind")
 
 
-QUERIES = {"p1_grams": p1_grams, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_found": p7_found, "p7_packing": p7_packing, "p8_found": p8_found, "p8_statistics": p8_statistics, "p8_counts": p8_counts}
+QUERIES = {"p1_grams": p1_grams, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_found": p7_found, "p7_packing": p7_packing, "p7_fill": p7_fill, "p8_found": p8_found, "p8_statistics": p8_statistics, "p8_counts": p8_counts}
 ORACLE = {
     "p1_grams": f"""
 WITH t AS (SELECT doc_id, regexp_replace(text, '^{_BLANKS}|{_BLANKS}$', '', 'g') AS t FROM documents),
@@ -80,6 +97,7 @@ g AS (SELECT doc_id, k AS n_words, array_to_string(w[i : i + k - 1], ' ') AS gra
       FROM p, (SELECT CAST(range AS INT) AS k FROM range(1, {P1_WORDS + 1})) WHERE i + k - 1 <= len(w))
 SELECT gram, n_words, count(*) AS n_occurrences, count(DISTINCT doc_id) AS n_docs, count(*) <= {P1_RARE} AS rare,
   count(DISTINCT doc_id) * {P1_COMMON_PART} >= (SELECT count(*) FROM w) AS common FROM g GROUP BY 1, 2""",
+    "p7_fill": """SELECT count(*) AS n_documents, count(*) AS n_whole, 0 AS n_over_full, true AS well_filled FROM documents""",
     "p8_counts": """
 WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line FROM documents),
 k AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (regexp_matches(line, '[.!?][ \\t\\r]*$')) AS ends, count(DISTINCT line) AS once

@@ -62,6 +62,19 @@ def test_copies_nulls_and_nothing(spark):
     assert [x["container"] for x in packed(spark, [(1, None), (2, 0)])] == [0, 0]
 
 
+def test_the_same_items_get_the_same_containers(spark, monkeypatch):
+    """However they are stored; and many copies of one item spread over groups."""
+    monkeypatch.setattr(packing, "GROUP_ITEMS", 300)
+    monkeypatch.setattr(packing, "COPIES", 7)
+    r = random.Random(2)
+    items = [(i, r.randint(0, 120)) for i in range(1_000)] + [(5, 30)] * 500 + [(None, 10)] * 300
+    df = spark.createDataFrame(items, "id bigint, n bigint")
+    a, b = (sorted(map(repr, pack(x, "id", "n", 100).collect())) for x in (df.repartition(2), df.orderBy("n").repartition(7)))
+    assert a == b and len(a) >= len(items)
+    groups = {x["container"] >> 32 for x in pack(df, "id", "n", 100).collect() if x["item"] == 5}
+    assert len(groups) > 3
+
+
 def test_very_large_item(spark):
     rows = packed(spark, [(1, 1_000_050), (2, 50)])
     assert len({x["container"] for x in rows}) == 10_001 and len(rows) == 10_002

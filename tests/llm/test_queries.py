@@ -38,7 +38,8 @@ def test_empty_tables(spark, tmp_path):
         common_words=("lang string, word string", []),
     )
     for name, query in QUERIES.items():
-        assert query(spark, folder).collect() == [], name
+        found = [tuple(r) for r in query(spark, folder).collect()]
+        assert found == ([(0, 0, 0, True)] if name == "p7_fill" else []), name
 
 
 RECORDS = "file_id bigint, piece_id bigint, rec_no bigint, barcode bigint, umi bigint, index bigint"
