@@ -6,17 +6,17 @@ For what built-in aggregates can express, use those: they stay in generated code
 from collections.abc import Iterator
 from typing import Any
 
-import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.errors import record_error
-from tagloom.functions.unsigned import MASK
+from tagloom.functions.unsigned import to_bits
 from tagloom.session import written
 from tagloom.sources.binary import plan, raw_part, read_part
 from tagloom.sources.codec import FIELDS
+from tagloom.sources.codec import totals as part_totals
 
 #: States that one task merges.
 FAN_IN = 16
@@ -136,17 +136,13 @@ def scan_totals(spark: SparkSession, path: str, partitions: int = 0, access: str
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in b.column(0).to_pylist():
-                n, sums, mixed = 0, [0] * 6, np.uint64(0)
+                n, sums, mixed = 0, [0] * 6, 0
                 for raw in raw_part(parts[i], options):
                     n += len(raw)
-                    fields = [np.ascontiguousarray(raw[f]) for f in FIELDS]
-                    for k, x in enumerate(fields):
-                        high = int((x >> np.uint64(32)).sum())
-                        whole = int(x.sum())  # modulo 2^64, from which the low halves follow: they add up to less
-                        sums[2 * k] += (whole - (high << 32)) & MASK
-                        sums[2 * k + 1] += high
-                    mixed ^= np.bitwise_xor.reduce(fields[0] ^ fields[1] ^ fields[2], initial=np.uint64(0))
-                row = {"n_records": n, **dict(zip(halves, sums)), "checksum": int(np.uint64(mixed).view(np.int64))}
+                    low, high, x = part_totals(raw)
+                    sums = [a + b for a, b in zip(sums, (low[0], high[0], low[1], high[1], low[2], high[2]))]
+                    mixed ^= x
+                row = {"n_records": n, **dict(zip(halves, sums)), "checksum": to_bits(mixed)}
                 yield pa.RecordBatch.from_pydict({k: pa.array([v], pa.int64()) for k, v in row.items()})
 
     schema = ", ".join(f"{c} bigint" for c in ("n_records", *halves, "checksum"))

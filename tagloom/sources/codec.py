@@ -32,6 +32,26 @@ def from_batch(batch: pa.RecordBatch) -> np.ndarray:
     return out
 
 
+#: Records that are added side by side, and those of a piece that stays in a core's cache.
+_LANES, _PIECE = 256, 32_768
+
+
+def totals(raw: np.ndarray) -> tuple[list[int], list[int], int]:
+    """Sums of the low and of the high halves of each field's values, and the XOR of all fields, of up to 2^32 records."""
+    words = raw.view(np.uint64)
+    whole, high, mixed = np.zeros(3, np.uint64), np.zeros(3, np.uint64), np.uint64(0)
+    half, step = np.uint64(32), 3 * _LANES
+    for at in range(0, len(words), 3 * _PIECE):
+        piece = words[at : at + 3 * _PIECE]
+        even = len(piece) // step * step
+        for part in (piece[:even].reshape(-1, step), piece[even:].reshape(-1, 3)):
+            whole += part.sum(axis=0).reshape(-1, 3).sum(axis=0)  # modulo 2^64
+            high += (part >> half).sum(axis=0).reshape(-1, 3).sum(axis=0)
+        mixed ^= np.bitwise_xor.reduce(piece)
+    # The low halves add up to less than 2^64, so they follow from the sum of the values modulo that.
+    return (whole - (high << half)).tolist(), high.tolist(), int(mixed)
+
+
 def encode(rows: list[tuple[int, int, int]]) -> bytes:
     """Bytes of records given as unsigned integers."""
     return np.array(rows, LAYOUT).tobytes()

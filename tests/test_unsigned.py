@@ -81,3 +81,21 @@ def test_bases(spark, first):
     assert all(r["t"] == r["b"] for r in back.collect())
     with pytest.raises(ValueError):
         encode_bases(F.col("t"), "middle")
+
+
+def test_totals_of_records():
+    import random
+
+    import numpy as np
+
+    from tagloom.sources.codec import LAYOUT, totals
+
+    r = random.Random(1)
+    for n in (0, 1, 255, 256, 257, 33_000, 70_001):
+        rows = [(r.choice([MASK, 0, r.getrandbits(64)]), MASK, r.getrandbits(64)) for _ in range(n)]
+        low, high, mixed = totals(np.array(rows, LAYOUT) if rows else np.empty(0, LAYOUT))
+        assert [a + (b << 32) for a, b in zip(low, high)] == [sum(x[i] for x in rows) for i in range(3)]
+        expected = 0
+        for x in rows:
+            expected ^= x[0] ^ x[1] ^ x[2]
+        assert mixed == expected
