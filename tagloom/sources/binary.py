@@ -162,6 +162,21 @@ def _extend(target: str, header: Header | None, parts: list[tuple[pafs.FileSyste
     fs.move(joined, inner)
 
 
+def _add_file(target: str, header: Header, part: tuple[pafs.FileSystem, str]) -> None:
+    """Add the bytes of ``part`` to a directory as a file of its own, which doesn't claim to be sorted. One move adds it whole or not at all."""
+    fs, inner = located(target.rstrip("/"))
+    new = f"{inner}.parts-{uuid.uuid4().hex}"
+    try:
+        with _created(fs, new) as out:
+            out.write(header.with_sorted(False).to_bytes())
+            _copy(*part, out)
+        RecordWriter._add_numbered(fs, new, inner)
+    except BaseException:
+        if fs.get_file_info(new).type != pafs.FileType.NotFound:
+            fs.delete_file(new)
+        raise
+
+
 def raw_part(part: tuple[str, int, int | None, int], options: dict) -> Iterator[np.ndarray]:
     """The records of one item of ``plan`` as arrays of at most ``batchrecords``; mapped, not copied, on local files."""
     path, start, end, _ = part
@@ -303,7 +318,7 @@ class RecordWriter(DataSourceArrowWriter):
             for m in done:
                 fs.move(f"{folder}/{m.name}", f"{folder}/part-{m.place:06d}")
             if self.append:
-                self._add_folder(fs, folder, target)
+                self._add_numbered(fs, folder, target)
             else:
                 self._replace(fs, folder, target)
         else:
@@ -325,11 +340,11 @@ class RecordWriter(DataSourceArrowWriter):
                 out.write(str(count).encode())
 
     @staticmethod
-    def _add_folder(fs: pafs.FileSystem, folder: str, target: str) -> None:
-        """One move adds all files of an append or none; folders are numbered, and stand behind the files in order of names."""
+    def _add_numbered(fs: pafs.FileSystem, new: str, target: str) -> None:
+        """One move adds all files of an append, a folder or one file, or none; they are numbered, and stand behind the files in order of names."""
         names = [i.base_name for i in fs.get_file_info(pafs.FileSelector(target))]
         number = 1 + max((int(m.group(1)) for n in names if (m := re.fullmatch(r"parts-(\d+)", n))), default=0)
-        fs.move(folder, f"{target}/parts-{number:09d}")
+        fs.move(new, f"{target}/parts-{number:09d}")
 
     @staticmethod
     def _replace(fs: pafs.FileSystem, new: str, target: str) -> None:
@@ -472,9 +487,10 @@ def write_records(
 
 
 def append_into(target: str, part: str) -> int:
-    """Move the records of ``part``, a file without header, to the end of the file ``target``; the number of records moved.
+    """Move the records of ``part``, a file without header, to the end of ``target``; the number of records moved.
 
-    A part with a header is refused, as its header would become records. The target no longer claims to be sorted.
+    ``target`` is a file, or a directory, as large writes are: that gets one more file, with the header of its first one. A part with a
+    header is refused, as its header would become records. The target no longer claims to be sorted.
     """
     raw = read_at(part, 0, HEADER_SIZE)
     if len(raw) == HEADER_SIZE:
@@ -485,10 +501,18 @@ def append_into(target: str, part: str) -> int:
         else:
             raise RecordIOError(f"{part} has a header")
     moved = records_in(part, {"header": "false", "access": "bulk"})
-    header = Header.from_bytes(_head(target)).validate()
-    records_in(target, {"access": "bulk"})
+    fs, inner = located(target)
+    directory = fs.get_file_info(inner).type == pafs.FileType.Directory
+    if directory:
+        plan(target, {"access": "bulk"})
+        header = read_header(target)
+    else:
+        header = Header.from_bytes(_head(target)).validate()
+        records_in(target, {"access": "bulk"})
     other, path = located(part)
-    if moved:
+    if moved and directory:
+        _add_file(target, header, (other, path))
+    elif moved:
         _extend(target, header, [(other, path, 0)])
     other.open_output_stream(path, compression=None).close()
     return moved

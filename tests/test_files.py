@@ -18,6 +18,7 @@ from tagloom.sources.codec import decode, encode
 from tagloom.sources.files import read_header
 from tagloom.sources.generators import patterned_records, random_records
 from tagloom.sources.standard import encode_to_bytes, read_optional, write_optional
+from tests.compare import check
 
 HEADER = Header(16, 12)
 FEW = [(1, 2, 3), (4, 5, 6), (7, 8, 9)]
@@ -315,6 +316,58 @@ def test_append_into(spark, tmp_path):
         append_into(target, put(tmp_path / "headed", FEW))
 
 
+def test_append_into_a_directory(spark, tmp_path):
+    """As large writes are directories: the part comes last, as one file, the claim to be sorted goes, and no header is lost or taken as a record."""
+    target, header = str(tmp_path / "d"), Header(16, 12, reserved=b"reserved")
+    write_records(frame(spark, FEW).coalesce(1), target, header, layout="directory", sort=True)
+    for i, end in enumerate(("", "/")):
+        part = put(tmp_path / "p", FEW[: 2 - i], None)
+        assert append_into(target + end, part) == 2 - i and (tmp_path / "p").read_bytes() == b""
+    assert append_into(target, part) == 0
+    write_records(frame(spark, FEW[2:]), target, header, mode="append")
+    assert got(read_records(spark, target)) == FEW + FEW[:2] + FEW[:1] + FEW[2:] and count_records(target) == 7
+    assert read_header(target) == header
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["d", "p"]
+
+
+def test_refused_or_failed_append_into_a_directory_leaves_it_as_it_was(spark, tmp_path, monkeypatch):
+    target, part = tmp_path / "d", put(tmp_path / "p", FEW, None)
+    target.mkdir()
+    with pytest.raises(E.RecordIOError):  # no file has a header
+        append_into(str(target), part)
+    put(target / "part-0", FEW, HEADER.with_sorted())
+    before = sorted(tmp_path.rglob("*"))
+    with pytest.raises(E.RecordIOError):
+        append_into(str(target), put(tmp_path / "p", FEW))
+    with pytest.raises(E.InvalidMapSize):
+        append_into(str(target), put(tmp_path / "p", FEW, None, cut=5))
+    put(tmp_path / "p", FEW, None)
+    real = binary._copy
+
+    def broken(fs, source, out, skip=0):
+        real(fs, source, out, skip)
+        raise OSError("disk full")
+
+    with monkeypatch.context() as m:
+        m.setattr(binary, "_copy", broken)
+        with pytest.raises(OSError):
+            append_into(str(target), part)
+    assert sorted(tmp_path.rglob("*")) == before and count_records(part, header=False) == 3
+    assert got(read_records(spark, str(target))) == FEW and read_header(str(target)).sorted
+    put(target / "part-1", FEW, Header(9, 9))
+    with pytest.raises(E.RecordIOError):
+        append_into(str(target), part)
+
+
+def test_large_target_of_ingest_concat(spark, monkeypatch):
+    """The query where its target is beyond the size of one file."""
+    from tagloom.plans import records
+
+    real = binary.write_records
+    monkeypatch.setattr(records, "write_records", lambda df, path, header: real(df, path, header, layout="directory" if header else "auto"))
+    check(spark, records.ingest_concat, records.ORACLE["ingest_concat"])
+
+
 def test_bytes_and_standard_streams(spark, tmp_path, monkeypatch, capfdbinary):
     df = frame(spark, FEW).coalesce(1)
     raw = HEADER.to_bytes() + encode(FEW)
